@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, secrets, simhash, token_file, topk, url_filter
+from . import decontaminate, langid, line_dedup, packing, secrets, simhash, token_file, topk, toxicity, url_filter
 from .common import fold, table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -44,6 +44,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.letter_model(docs)
+    classifier = toxicity.fit(docs.where(fold() != 0).join(labels, "doc_id"), model)
+    out = toxicity.judge(docs, model, classifier, ["doc_id"])
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_decontaminate, op4_langid, op5_line_dedup, op6_packing, op7_secrets, op9_token_file, op10_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_decontaminate, op4_langid, op5_line_dedup, op6_packing, op7_secrets, op8_toxicity, op9_token_file, op10_url_filter)}
 
 
 OP10_SQL = r"""
