@@ -34,7 +34,7 @@ def digits_of(value: Column) -> Column:
 
 
 def luhn_ok(digits: Column) -> Column:
-    return F.coalesce(F.luhn_check(digits), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
 def known_issuer(digits: Column) -> Column:

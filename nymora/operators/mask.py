@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed
 from ..functions.surrogates import Placeholders
@@ -25,7 +26,7 @@ from .tables import numbered, stored
 ATTEMPTS = 1024
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def spelling(texts: pd.Series) -> pd.Series:
     """White space collapsed and case folded: what tolerant restoration can't tell apart."""
     return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold())
