@@ -19,7 +19,7 @@ empty; columns of the input named like the results are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,57 +27,67 @@ from .common import written
 VARIABLE = "<*>"
 
 
+def _masked(line: Column) -> Column:
+    """The line with its digit-bearing tokens as VARIABLE; most lines have none and aren't rewritten."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<! )[^ 0-9]*+[0-9][^ ]*|(?<= )[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(line)
+
+
+def _size(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(row, at, size, leaf, line, before, after) of each distinct line of each distinct (doc_id, text); line, before and after are hashes of masked lines."""
-    masked = F.split(F.regexp_replace("text", r"[^ \n]*[0-9][^ \n]*", VARIABLE), "\n")
-    each = F.transform(
-        masked,
-        lambda line: F.struct(
-            (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("size"),
-            F.xxhash64(F.length(line) - F.length(F.translate(line, " ", "")), F.substring_index(line, " ", depth)).alias("leaf"),
-            F.xxhash64(line).alias("line"),
-        ),
-    )
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), each.alias("l")).where("l is not null")
-    exploded = rows.select("row", F.size("l").alias("n"), F.col("l.line").alias("hashes"), F.posexplode("l").alias("at", "x"))
+    """(row, at, size, leaf, line, before, after) of every line; line, before and after are hashes of masked lines, leaf of the leading tokens."""
+    masked = F.transform(F.split("text", "\n"), _masked)
+    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), masked.alias("l"))
+    hashed = rows.select("row", "l", F.transform("l", lambda line: F.xxhash64(line)).alias("hashes"))
+    exploded = hashed.select("row", "hashes", F.posexplode("l").alias("at", "line"))
+    around = lambda step, ok: F.when(ok, F.expr(f"hashes[at {step} 1]")).otherwise(0)
     return exploded.select(
         "row",
         "at",
-        "x.*",
-        F.when(F.col("at") > 0, F.expr("hashes[at - 1]")).otherwise(0).alias("before"),
-        F.when(F.col("at") < F.col("n") - 1, F.expr("hashes[at + 1]")).otherwise(0).alias("after"),
+        _size(F.col("line")).alias("size"),
+        F.xxhash64(F.substring_index("line", " ", depth)).alias("leaf"),
+        F.expr("hashes[at]").alias("line"),
+        around("-", F.col("at") > 0).alias("before"),
+        around("+", F.col("at") < F.size("hashes") - 1).alias("after"),
     )
 
 
+def _texts(docs: DataFrame, depth: int) -> DataFrame:
+    """(leaf, size, text) of every masked line."""
+    every = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(_masked(F.col("text")).alias("text"))
+    return every.select(F.xxhash64(F.substring_index("text", " ", depth)).alias("leaf"), _size(F.col("text")).alias("size"), "text")
+
+
 def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
 
 
 def _variable_positions(lines: DataFrame, docs: DataFrame, min_docs: int, min_tokens: int, depth: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """(leaf, fields): the variable positions of leaves that hold one template with variable fields beyond those with digits."""
-    leaves = lines.where(F.col("size") >= min_tokens).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi"))
-    leaves = written(leaves.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi"))).select("leaf", "n"), "leaves")
-    masked = F.split(F.regexp_replace("text", r"[^ \n]*[0-9][^ \n]*", VARIABLE), "\n")
-    every = docs.select(F.explode(masked).alias("text"))
-    keyed = every.select(F.xxhash64(F.length("text") - F.length(F.translate("text", " ", "")), F.substring_index("text", " ", depth)).alias("leaf"), "text")
-    held = keyed.join(_small(leaves, broadcast_rows), "leaf")
-    tokens = held.select("leaf", "n", F.posexplode(F.split("text", " ")).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "n", "at", F.xxhash64("token").alias("token")).agg(F.count(F.lit(1)).alias("c"))
-    modes = counts.groupBy("leaf", "n", "at").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
-    by_leaf = modes.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(F.when(2 * F.col("most") < F.col("all"), F.col("at")))).alias("fields"))
-    return by_leaf.where((F.size("fields") > 0) & (F.size("fields") <= F.col("size") * (1 - similarity))).select("leaf", "fields")
+    """(leaf, size, fields): the variable positions of leaves that hold one template with variable fields beyond those with digits."""
+    leaves = lines.where(F.col("size") >= min_tokens).groupBy("leaf", "size").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    leaves = written(leaves.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi"))).select("leaf", "size"), "leaves")
+    held = _texts(docs, depth).join(_small(leaves, broadcast_rows), ["leaf", "size"])
+    tokens = held.select("leaf", "size", F.posexplode(F.split("text", " ")).alias("at", "token"))
+    counts = tokens.groupBy("leaf", "size", "at", F.xxhash64("token").alias("token")).agg(F.count(F.lit(1)).alias("c"))
+    modes = counts.groupBy("leaf", "size", "at").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+    by_leaf = modes.groupBy("leaf", "size").agg(F.sort_array(F.collect_list(F.when(2 * F.col("most") < F.col("all"), F.col("at")))).alias("fields"))
+    return by_leaf.where((F.size("fields") > 0) & (F.size("fields") <= F.col("size") * (1 - similarity)))
 
 
 def recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similarity: float = 0.6, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(lines with their template, templates that recur); docs: doc_id, text."""
-    distinct = docs
-    lines = written(_lines(distinct, depth), "lines")
-    fields = written(_variable_positions(lines, distinct, min_docs, min_tokens, depth, similarity, broadcast_rows), "fields")
+    lines = written(_lines(docs, depth), "lines")
+    fields = written(_variable_positions(lines, docs, min_docs, min_tokens, depth, similarity, broadcast_rows), "fields")
     if fields.limit(1).count():
-        lines = written(_generalised(lines, distinct, fields, depth, broadcast_rows), "templates")
+        lines = written(_generalised(lines, docs, fields, depth, broadcast_rows), "templates")
     else:
         lines = lines.withColumn("template", F.col("line"))
-    once = lines.where(F.col("size") >= min_tokens).groupBy("template", "row").agg(F.min("before").alias("before"), F.min("after").alias("after"))
+    # Templates with too few lines go first, by a plain count; what is left is counted by documents and surroundings.
+    long = lines.where(F.col("size") >= min_tokens)
+    many = written(long.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "many")
+    once = long.join(_small(many, broadcast_rows), "template", "left_semi").groupBy("template", "row").agg(F.min("before").alias("before"), F.min("after").alias("after"))
     often = once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("before", 0.02).alias("befores"), F.approx_count_distinct("after", 0.02).alias("afters"))
     found = often.where((F.col("docs") >= min_docs) & (2 * F.greatest("befores", "afters") >= F.col("docs")))
     return lines, written(found.select("template", "docs"), "recurring")
@@ -85,13 +95,10 @@ def recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: i
 
 def _generalised(lines: DataFrame, docs: DataFrame, fields: DataFrame, depth: int, broadcast_rows: int) -> DataFrame:
     """``lines`` with ``template``: the hash of the line, its leaf's variable fields masked."""
-    masked = F.split(F.regexp_replace("text", r"[^ \n]*[0-9][^ \n]*", VARIABLE), "\n")
-    every = docs.select(F.explode(masked).alias("text"))
-    keyed = every.select(F.xxhash64(F.length("text") - F.length(F.translate("text", " ", "")), F.substring_index("text", " ", depth)).alias("leaf"), "text")
-    held = keyed.join(_small(fields, broadcast_rows), "leaf")
+    held = _texts(docs, depth).join(_small(fields, broadcast_rows), ["leaf", "size"])
     general = F.transform(F.split("text", " "), lambda t, i: F.when(F.array_contains("fields", i), F.lit(VARIABLE)).otherwise(t))
-    named = held.select(F.xxhash64("text").alias("line"), F.xxhash64(F.array_join(general, " ")).alias("template")).distinct()
-    return lines.join(named, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    named = written(held.select(F.xxhash64("text").alias("line"), F.xxhash64(F.array_join(general, " ")).alias("template")).distinct(), "named")
+    return lines.join(_small(named, broadcast_rows), "line", "left").withColumn("template", F.coalesce("template", "line"))
 
 
 def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 200_000, **options) -> DataFrame:
