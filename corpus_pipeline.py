@@ -13,29 +13,40 @@ from nymora.llm import decontaminate, langid, line_dedup, packing, simhash
 from nymora.llm.common import fold, table, written
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with column names that can't clash with an operator's, and the names of doc_id and text there."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that are rejected (no letters, or a narrow margin) go."""
     model = langid.fit(docs.where(fold() != 0).select("doc_id", "text", "lang"))
-    return langid.identify(docs, model, docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    plain, _, text = _plain(docs)
+    return langid.identify(plain, model, plain.columns, text).where(~F.col("rejected")).select(*plain.columns).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates; n_chars follows."""
-    out = line_dedup.deduplicated(docs)
+    plain, doc_id, text = _plain(docs)
+    out = line_dedup.deduplicated(plain, text, doc_id)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n_chars = plain.columns[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col("n_dropped") > 0, F.length(text).cast(plain.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest doc_id) of each component of near-duplicates."""
-    return simhash.deduplicated(docs).select(*docs.columns)
+    plain, doc_id, text = _plain(docs)
+    return simhash.deduplicated(plain, text, doc_id).toDF(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    judged = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    plain, _, text = _plain(docs)
+    judged = decontaminate.judge(plain, table(spark, sf_dir, "benchmark"), plain.columns, text)
+    return judged.where(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words of all texts, number of words of each)."""
+    if not len(texts):
+        return pa.array([], pa.large_binary()), np.zeros(0, "int64")
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     at = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]

@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, size: int = 3, cell_points: int = 2048) -> DataFrame:
     """``docs`` with the first row (smallest doc_id) of each component."""
     columns = docs.columns
-    fps = written(fingerprints(docs.withColumn("_key", F.col(doc_id)), columns, text, size), "fps")
+    fps = written(fingerprints(docs, columns, text, size), "fps")
     groups = components(fps.select(F.col(doc_id).alias("doc_id"), "_fp"), distance, cell_points)
     keepers = groups.select("keeper.doc_id", "keeper.fp").distinct().select(F.col("doc_id").alias("_k"), F.col("fp").alias("_f"))
     kept = fps.join(keepers, fps[doc_id].eqNullSafe(keepers["_k"]) & (fps["_fp"] == keepers["_f"]), "left_semi")

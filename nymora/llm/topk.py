@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     near = written(searched(first), "near")
     if shards > 1:
         kth = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("least"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-        second = asked.join(kth, "query_id", "left").select("query_id", "v", F.size("v").alias("dim"), F.explode(others).cast("long").alias("shard"), block, "least")
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != home)
+        second = asked.join(kth, "query_id", "left").select("query_id", "v", F.size("v").alias("dim"), F.explode(others).alias("shard"), block, "least")
         near = near.union(searched(second))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
