@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ class Custom:
         self.make = make
 
     def column(self, type_: Column, original: Column, n: Column) -> Column:
-        import pandas as pd
-
         make = self.make
 
         @F.pandas_udf("string")
