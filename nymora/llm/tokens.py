@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def slices(texts: pa.Array, most_bytes: int = 16 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of a string column, each of about ``most_bytes`` at most or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64"))
     at = 0
@@ -44,33 +43,36 @@ class Encoder:
     #: Stands between pieces that are encoded together; pieces that hold it are encoded alone.
     MARK = "~"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
         (self.mark,) = self.encode(self.MARK, add_special_tokens=False).ids
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
         self.limit = limit
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of new pieces; those of ordinary ones are encoded together and told apart by MARK's id."""
-        out = {p: tuple(self.encode(p, add_special_tokens=False).ids) for p in pieces if self.MARK in p or "<|" in p}
+    def _alone(self, piece: str) -> bytes:
+        return np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces, 4 bytes each; those of ordinary pieces are encoded together and told apart by MARK's id."""
+        out = {p: self._alone(p) for p in pieces if self.MARK in p or "<|" in p}
         plain = [p for p in pieces if p not in out]
         for i in range(0, len(plain), 4000):
             some = plain[i : i + 4000]
             ids = np.array(self.encode(f" {self.MARK} ".join([*some, ""]), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(some):
-                out |= {p: tuple(self.encode(p, add_special_tokens=False).ids) for p in some}
+                out |= {p: self._alone(p) for p in some}
                 continue
-            flat, at = ids.tolist(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                out[p] = tuple(flat[at:end])
-                at = end + 1
+            flat, at = ids.tobytes(), 0
+            for p, end in zip(some, (4 * ends).tolist(), strict=True):
+                out[p] = flat[at:end]
+                at = end + 4
         return out
 
-    def _lookup(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
         kept = self.kept
         new = [p for p in pieces if p not in kept]
         if not new:
@@ -98,9 +100,9 @@ class Encoder:
         tail = pc.if_else(cut, pc.replace_substring_regex(pc.if_else(cut, whole, ""), "^(?s:.*)[a-z]([^a-z]*)$", "\\1"), "").dictionary_encode()
         found = self._lookup(core.dictionary.to_pylist())
         n = len(found)
-        found += [*self._lookup(tail.dictionary.to_pylist()), (END,)]
-        lengths = np.fromiter(map(len, found), "int64", len(found))
-        flat = np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum()))
+        found += [*self._lookup(tail.dictionary.to_pylist()), np.array([END], "<u4").tobytes()]
+        lengths = np.fromiter(map(len, found), "int64", len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
         first = np.cumsum(lengths) - lengths
         pairs = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + n], 1).astype("int32") if n else np.zeros((0, 2), "int32")
         last = 2 * (offsets[1:] - offsets[0])
