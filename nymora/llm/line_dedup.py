@@ -3,10 +3,11 @@
 A line is split at spaces; tokens with a digit are variable fields and become ``<*>``. The tree has a fixed depth: the token count,
 then the first ``depth`` tokens. In a leaf that ``min_docs`` documents share, a position whose commonest token covers less than
 half of the lines is a variable field too, if the leaf's constant positions make up ``similarity`` of the tokens at least (the
-lines are then one template); otherwise each line is its own template. A template recurs when ``min_docs`` documents hold it in
-different surroundings: the distinct lines before it, or those after it, number at least half of the documents. (Whole
-documents that were copied repeat their lines in the same surroundings; they are left to near-dedup.) Lines of
-recurring templates with ``min_tokens`` tokens or more are dropped from every document.
+lines are then one template); otherwise each line is its own template. A template recurs when ``min_docs`` documents hold it
+(``long_docs``, if it has ``long_tokens`` tokens or more) in different surroundings: the distinct lines before it, or those
+after it, number more than half of the documents. Lines of recurring templates with ``min_tokens`` tokens or more are dropped
+from every document, but for documents of which they are more than half of the lines, and three or more: these are copies of
+other documents as a whole, which are left to near-dedup.
 
 Lines are compared by 64-bit hashes. Texts are shuffled once, to meet the numbers of their dropped lines; a line that a
 third of all documents holds is a key of pre-aggregated counts and of skewed joins that adaptive execution splits, and sets of
@@ -46,6 +47,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return exploded.select(
         "row",
         "at",
+        F.size("hashes").alias("n_lines"),
         _size(F.col("line")).alias("size"),
         F.xxhash64(F.substring_index("line", " ", depth)).alias("leaf"),
         F.expr("hashes[at]").alias("line"),
@@ -76,7 +78,9 @@ def _variable_positions(lines: DataFrame, docs: DataFrame, min_docs: int, min_to
     return by_leaf.where((F.size("fields") > 0) & (F.size("fields") <= F.col("size") * (1 - similarity)))
 
 
-def recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: int = 3, similarity: float = 0.6, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def recurring(
+    docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, long_docs: int = 3, long_tokens: int = 50, depth: int = 3, similarity: float = 0.6, broadcast_rows: int = 200_000
+) -> tuple[DataFrame, DataFrame]:
     """(lines with their template, templates that recur); docs: doc_id, text."""
     lines = written(_lines(docs, depth), "lines")
     fields = written(_variable_positions(lines, docs, min_docs, min_tokens, depth, similarity, broadcast_rows), "fields")
@@ -86,10 +90,13 @@ def recurring(docs: DataFrame, min_docs: int = 10, min_tokens: int = 3, depth: i
         lines = lines.withColumn("template", F.col("line"))
     # Templates with too few lines go first, by a plain count; what is left is counted by documents and surroundings.
     long = lines.where(F.col("size") >= min_tokens)
-    many = written(long.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "many")
-    once = long.join(_small(many, broadcast_rows), "template", "left_semi").groupBy("template", "row").agg(F.min("before").alias("before"), F.min("after").alias("after"))
-    often = once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("before", 0.02).alias("befores"), F.approx_count_distinct("after", 0.02).alias("afters"))
-    found = often.where((F.col("docs") >= min_docs) & (2 * F.greatest("befores", "afters") >= F.col("docs")))
+    enough = F.when(F.col("size") >= long_tokens, long_docs).otherwise(min_docs)
+    many = long.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    many = written(many.where(F.col("n") >= enough).select("template"), "many")
+    once = long.join(_small(many, broadcast_rows), "template", "left_semi").groupBy("template", "row").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.max("size").alias("size"))
+    counts = [F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("before", 0.02).alias("befores"), F.approx_count_distinct("after", 0.02).alias("afters"), F.max("size").alias("size")]
+    often = once.groupBy("template").agg(*counts)
+    found = often.where((F.col("docs") >= enough) & (2 * F.greatest("befores", "afters") > F.col("docs")))
     return lines, written(found.select("template", "docs"), "recurring")
 
 
@@ -106,7 +113,8 @@ def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadca
     lines, found = recurring(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), broadcast_rows=broadcast_rows, **options)
     least = options.get("min_tokens", 3)
     hit = lines.where(F.col("size") >= least).join(_small(found.select("template"), broadcast_rows), "template", "left_semi")
-    return hit.groupBy("row").agg(F.collect_set("at").alias("lines"))
+    by_row = hit.groupBy("row").agg(F.collect_set("at").alias("lines"), F.max("n_lines").alias("n"))
+    return by_row.where((F.size("lines") < 3) | (2 * F.size("lines") <= F.col("n"))).select("row", "lines")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -76,7 +76,7 @@ def test_language_of_odd_texts(spark):
 # --- lines ----------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(docs, min_docs=10, min_tokens=3, depth=3, similarity=0.6):
+def brute_lines(docs, min_docs=10, min_tokens=3, depth=3, similarity=0.6, long_docs=3, long_tokens=50):
     mask = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split(" "))
     lines = [(d, i, mask(x)) for d, t in docs for i, x in enumerate(t.split("\n"))]
     leaves = defaultdict(list)
@@ -98,8 +98,14 @@ def brute_lines(docs, min_docs=10, min_tokens=3, depth=3, similarity=0.6):
         if len(x.split(" ")) >= min_tokens:
             a, b = text.get((d, i - 1), ""), text.get((d, i + 1), "")
             held[template[x]].setdefault(d, (a, b))
-    bad = {t for t, by in held.items() if len(by) >= min_docs and 2 * max(len({a for a, _ in by.values()}), len({b for _, b in by.values()})) >= len(by)}
-    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if not (len(x.split(" ")) >= min_tokens and template[mask(x)] in bad)) for d, t in docs}
+    enough = lambda t: long_docs if len(t.split(" ")) >= long_tokens else min_docs
+    bad = {t for t, by in held.items() if len(by) >= enough(t) and 2 * max(len({a for a, _ in by.values()}), len({b for _, b in by.values()})) > len(by)}
+    out = {}
+    for d, t in docs:
+        own = t.split("\n")
+        gone = {i for i, x in enumerate(own) if len(x.split(" ")) >= min_tokens and template[mask(x)] in bad}
+        out[d] = t if len(gone) >= 3 and 2 * len(gone) > len(own) else "\n".join(x for i, x in enumerate(own) if i not in gone)
+    return out
 
 
 def test_recurring_templates_go_and_copies_stay(spark):
@@ -108,12 +114,17 @@ def test_recurring_templates_go_and_copies_stay(spark):
     prose = lambda: " ".join(word() for _ in range(12))
     docs = [(i, f"{prose()}\nAll rights reserved by us\n{prose()}\nPage {i} of {i * 7} was printed\n{prose()}\nSigned today by {word()} at the office\nok") for i in range(30)]
     copied = "\n".join(prose() for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    docs += [(60 + i, f"{prose()}\n{passage}\n{prose()}") for i in range(3)]
+    near = [" ".join(word() for _ in range(60)) for _ in range(5)]
+    docs += [(80 + i, "\n".join(x if j != i % 5 else f"{x} {word()}" for j, x in enumerate(near))) for i in range(5)]
     docs += [(100 + i, copied) for i in range(40)] + [(200, "All rights reserved by us"), (201, ""), (202, "short")]
     df = spark.createDataFrame([*docs, (300, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in line_dedup.deduplicated(df).collect()}
     want = brute_lines(docs)
     assert {d: r.text for d, r in out.items()} == {**want, 300: None}
     assert all("rights" not in want[i] and "printed" not in want[i] and "Signed" not in want[i] for i in range(30))
+    assert all(passage not in want[60 + i] and want[80 + i] == dict(docs)[80 + i] for i in range(3))
     assert out[100].text == copied and out[200].text == "" and out[300].n_lines == 0 and out[5].n_dropped == 3
 
 
