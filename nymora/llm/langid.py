@@ -38,7 +38,7 @@ def normal(text: str) -> bytes:
 class Model:
     """languages: (name, dictionary content), the most frequent first."""
 
-    def __init__(self, languages: list[tuple[str, bytes]], level: int = 5, piece_bytes: int = 512, reject_bytes: int = 200, min_margin: float = 0.01):
+    def __init__(self, languages: list[tuple[str, bytes]], level: int = 5, piece_bytes: int = 512, reject_bytes: int = 200, min_margin: float = 0.003):
         self.languages, self.level, self.piece_bytes = languages, level, piece_bytes
         self.reject_bytes, self.min_margin = reject_bytes, min_margin
         self._made: list | None = None
