@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.hits import Cover
 from ..functions.scan import scan
-from .detect import checked
+from .detect import checked, entities
 
 FINDING = "struct<kind:string,type:string,value:string,start:int,end:int,detector:string,confidence:double>"
 ARROW = pa.list_(pa.struct([("kind", pa.string()), ("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("detector", pa.string()), ("confidence", pa.float64())]))
@@ -103,6 +103,8 @@ def findings(df: DataFrame, vault: DataFrame, text: str = "text", vault_id: str
             return pa.array(out, ARROW)
 
         return df.withColumn("findings", look(F.col(text), key))
+    if rows.groupBy("vault_id").count().agg(F.max("count")).head()[0] > broadcast_rows:
+        raise ValueError(f"a vault has more than {broadcast_rows} mappings; use findings_joined")
     lists = rows.groupBy("vault_id").agg(F.sort_array(F.collect_list(F.struct("ord", "type", "original", "surrogate"))).alias("_known"))
 
     @F.arrow_udf(f"array<{FINDING}>")
@@ -114,6 +116,25 @@ def findings(df: DataFrame, vault: DataFrame, text: str = "text", vault_id: str
     return joined.withColumn("findings", look_own(F.col(text), F.col("_known"))).drop("_known", "_key")
 
 
+def findings_joined(df: DataFrame, vault: DataFrame, key: str, text: str = "text", detectors: Iterable[str] | None = None) -> DataFrame:
+    """(key, kind, type, value, start, end) for one vault of any size, by joins alone; ``key`` tells the rows apart.
+
+    As ``findings``, but that overlapping occurrences of the same original are all given.
+    """
+    leaks = leaked_joined(df, vault, key, text)
+    out = leaks.select(key, F.lit("leaked_original").alias("kind"), "type", "value", "start", "end")
+    detectors = checked(fixed.DEFAULT_DETECTORS if detectors is None else detectors)
+    if not detectors:
+        return out
+    marks = leaked_joined(df, vault.withColumn("original", F.col("surrogate")), key, text)
+    known = leaks.select(key, "start", "end").unionByName(marks.select(key, "start", "end")).distinct().select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    hits = df.select(key, F.explode(entities(text, None, detectors, resolved=False)).alias("e")).select(key, "e.type", "e.value", "e.start", "e.end")
+    values = vault.select(F.col("original").alias("value")).union(vault.select("surrogate")).distinct()
+    new = hits.join(values, "value", "left_anti")
+    new = new.join(known, (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b")), "left_anti")
+    return out.unionByName(new.select(key, F.lit("new_pii").alias("kind"), "type", "value", "start", "end"))
+
+
 #: Lengths of the prefixes by which long vaults are joined; a value goes by the longest that it reaches, or by its own length.
 TIERS = (4, 7, 12, PREFIX)
 

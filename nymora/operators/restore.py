@@ -1,7 +1,7 @@
 """Surrogates in text back to originals: exact, tolerant, or within JSON.
 
 Small vaults (counted, at most ``broadcast_rows`` mappings) are broadcast as tries. Beyond that each row gets the mappings of its own
-vault by a join if vaults are small, or, for delimited placeholders in exact mode, its placeholders are joined one by one.
+vault by a join, if no single vault is larger than that; for a larger one placeholders are joined one by one.
 """
 
 from __future__ import annotations
@@ -46,8 +46,11 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
             return _apply(texts.to_pylist(), map(trie, vaults.to_pylist()), tolerant, mode)
 
         return df.withColumn("restored", back(F.col(text), key))
-    if not tolerant and mode == "text":
-        return restore_joined(df, vault, text, vault_id)
+    largest = pairs.groupBy("vault_id").count().agg(F.max("count")).head()[0]
+    if mode == "text" and (not tolerant or largest > broadcast_rows):
+        return restore_joined(df, vault, text, vault_id, tolerant=tolerant)
+    if largest > broadcast_rows:
+        raise ValueError(f"JSON restoration takes vaults of {broadcast_rows} mappings at most; split the vault, or restore value by value")
     lists = pairs.groupBy("vault_id").agg(F.collect_list(F.struct("surrogate", "original")).alias("_pairs"))
 
     @F.arrow_udf("string")
@@ -63,15 +66,24 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
 PLACEHOLDER = "⟨[A-Z0-9_]+_[0-9]+⟩"
 
 
-def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, pattern: str = PLACEHOLDER) -> DataFrame:
-    """Exact restoration of delimited placeholders by equality joins alone, for vaults of any size."""
+def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, pattern: str = PLACEHOLDER, tolerant: bool = False) -> DataFrame:
+    """Restoration of delimited placeholders by equality joins alone, for vaults of any size.
+
+    ``tolerant`` takes other spellings of letters too, unless they stand for several originals.
+    """
     from ..functions.native import match_spans
 
-    keyed = df.withColumn("_key", F.col(vault_id).cast("string") if vault_id else F.lit("")).withColumn("_row", F.xxhash64(F.col(text)))
-    found = keyed.select("_key", F.col(text).alias("_t")).distinct().select("_key", "_t", F.explode(match_spans(F.col("_t"), pattern)).alias("s"))
+    keyed = df.withColumn("_key", F.col(vault_id).cast("string") if vault_id else F.lit(""))
+    finder = f"(?i){pattern}" if tolerant else pattern
+    found = keyed.select("_key", F.col(text).alias("_t")).distinct().select("_key", "_t", F.explode(match_spans(F.col("_t"), finder)).alias("s"))
+    found = found.select("_key", "_t", "s.start", "s.end", F.col("s.value").alias("_s"))
     pairs = vault.select(F.col("vault_id").alias("_key"), F.col("surrogate").alias("_s"), "original")
-    hit = found.select("_key", "_t", "s.start", "s.end", F.col("s.value").alias("_s")).join(pairs, ["_key", "_s"])
+    hit = found.join(pairs, ["_key", "_s"])
+    if tolerant:
+        loose = pairs.groupBy("_key", F.lower("_s").alias("_low")).agg(F.min("original").alias("original"), F.max("original").alias("other")).where("original = other").drop("other")
+        rest = found.join(pairs, ["_key", "_s"], "left_anti").withColumn("_low", F.lower("_s"))
+        hit = hit.unionByName(rest.join(loose, ["_key", "_low"]).drop("_low"))
     changes = hit.groupBy("_key", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("original").alias("surrogate")))).alias("_c"))
     joined = keyed.withColumn("_t", F.col(text)).join(changes, ["_key", "_t"], "left")
     none = F.array().cast("array<struct<start:int,end:int,surrogate:string>>")
-    return joined.withColumn("restored", rewrite(F.col("_t"), F.coalesce("_c", none))).drop("_key", "_t", "_c", "_row")
+    return joined.withColumn("restored", rewrite(F.col("_t"), F.coalesce("_c", none))).drop("_key", "_t", "_c")

@@ -46,7 +46,7 @@ def test_numbers_follow_reading_order_and_skip_literals(batch):
 def test_every_way_of_restoring(spark, batch):
     engine, masked, _ = batch
     want = dict(TEXTS)
-    for out in (engine.restore(masked), engine.restore(masked, tolerant=False), restoring.restore(masked, engine.vault, broadcast_rows=0), restoring.restore(masked, engine.vault, tolerant=False, broadcast_rows=0)):
+    for out in (engine.restore(masked), engine.restore(masked, tolerant=False), restoring.restore(masked, engine.vault, tolerant=False, broadcast_rows=0), restoring.restore(masked, engine.vault, broadcast_rows=3)):
         assert {r.ord: r.restored for r in out.collect()} == want
 
 
@@ -83,10 +83,14 @@ def test_realistic_and_custom_surrogates(spark):
 def test_audit(spark, batch):
     engine, _, df = batch
     texts = spark.createDataFrame([(1, "see bob@example.com, new@x.org and ⟨EMAIL_2⟩"), (2, None), (3, "bob@example.combob@example.com")], "ord long, text string")
-    for rows in (200_000, 0):
+    for rows in (200_000, 4):
         out = {r.ord: [(f.kind, f.value, f.start) for f in r.findings] for r in audit.findings(texts, engine.vault, broadcast_rows=rows).collect()}
         assert out == {1: [("leaked_original", "bob@example.com", 4), ("new_pii", "new@x.org", 21)], 2: [], 3: [("leaked_original", "bob@example.com", 0), ("leaked_original", "bob@example.com", 15)]}
     assert {(r.ord, r.value, r.start) for r in audit.leaked_joined(texts, engine.vault, "ord").collect()} == {(1, "bob@example.com", 4), (3, "bob@example.com", 0), (3, "bob@example.com", 15)}
+    joined = {(r.ord, r.kind, r.value, r.start) for r in audit.findings_joined(texts, engine.vault, "ord").collect()}
+    assert joined == {(o, *f) for o, fs in out.items() for f in fs}
+    with pytest.raises(ValueError):
+        audit.findings(texts, engine.vault, broadcast_rows=0)
     assert all(f.kind == "leaked_original" for r in audit.findings(texts, engine.vault, detectors=[]).collect() for f in r.findings)
 
 
