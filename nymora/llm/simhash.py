@@ -177,9 +177,9 @@ def links(points: DataFrame, distance: int = 3, cell_points: int = 2048) -> Data
     return dealt.select("fp", "cell", "i", "j", "side").mapInPandas(linked, "a long, b long").distinct()
 
 
-def components(fps: DataFrame, distance: int = 3, cell_points: int = 2048) -> DataFrame:
-    """(fp, component_id, keeper): for each distinct ``_fp`` of ``fps`` (with doc_id), the smallest doc_id of its component and the (doc_id, fp) of its first row."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_fp").alias("fp")))
+def components(fps: DataFrame, distance: int = 3, cell_points: int = 2048, tie: str = "_fp") -> DataFrame:
+    """(fp, component_id, keeper): for each distinct ``_fp`` of ``fps`` (with doc_id), the smallest doc_id of its component and the (doc_id, tie) of its first row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(tie).alias("tie")))
     points = written(fps.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "points")
     rooted = connected(links(points.select("fp"), distance, cell_points))
     all_ = points.join(rooted, points["fp"] == rooted["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -196,10 +196,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, size: int = 3, cell_points: int = 2048) -> DataFrame:
-    """``docs`` with the first row (smallest doc_id) of each component."""
-    columns = docs.columns
-    fps = written(fingerprints(docs, columns, text, size), "fps")
-    groups = components(fps.select(F.col(doc_id).alias("doc_id"), "_fp"), distance, cell_points)
-    keepers = groups.select("keeper.doc_id", "keeper.fp").distinct().select(F.col("doc_id").alias("_k"), F.col("fp").alias("_f"))
-    kept = fps.join(keepers, fps[doc_id].eqNullSafe(keepers["_k"]) & (fps["_fp"] == keepers["_f"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_fp"]).select(*columns)
+    """``docs`` with the first row (smallest doc_id, then a hash of the text) of each component. Texts are shuffled once, to their keepers."""
+    columns, hashed = docs.columns, F.xxhash64(text)
+    keys = docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("_hash"), F.col(text).alias("text"))
+    fps = written(fingerprints(keys, ["doc_id", "_hash"], "text", size), "fps")
+    keepers = components(fps, distance, cell_points, "_hash").select("keeper").distinct().select(F.col("keeper.doc_id").alias("_k"), F.col("keeper.tie").alias("_t"))
+    marked = docs.withColumn("_hash", hashed)
+    kept = marked.join(keepers, marked[doc_id].eqNullSafe(keepers["_k"]) & (marked["_hash"] == keepers["_t"]), "left_semi")
+    return kept.dropDuplicates([doc_id, "_hash"]).select(*columns)
