@@ -48,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.letter_model(docs)
-    classifier = toxicity.fit(docs.where(fold() != 0).join(labels, "doc_id"), model)
+    classifier = toxicity.fit(toxicity.labelled(docs.where(fold() != 0), labels), model)
     out = toxicity.judge(docs, model, classifier, ["doc_id"])
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from nymora.llm import decontaminate, langid, line_dedup, queries, secrets, toxicity, url_filter
@@ -172,13 +172,19 @@ def test_random_runs_are_told_from_patterns(spark):
 
 
 def test_disguised_words_are_restored():
-    grams = Counter()
-    for w, n in Counter("idiot stupid moron loser pathetic worthless trash clown the and with this that some good word".split() * 50).items():
-        whole = toxicity.EDGE + w + toxicity.EDGE
-        grams.update({whole[i - k + 1 : i + 1]: n for i in range(1, len(whole)) for k in range(1, toxicity.ORDER + 1) if i - k + 1 >= 0})
-    restore = toxicity.Restorer(toxicity.LetterModel(dict(grams)))
+    words = "idiot stupid moron loser pathetic worthless trash clown the and with this that some good word ".split() * 50
+    grams = toxicity.gram_counts(pa.array([" ".join(words), None, "", "the. And!"])).to_pydict()
+    edge = toxicity.EDGE
+    assert dict(zip(grams["gram"], grams["n"], strict=True))[f"the{edge}"] == 51 and dict(zip(grams["gram"], grams["n"], strict=True))[edge * 3 + "a"] == 51
+    model = toxicity.LetterModel.of(dict(zip(grams["gram"], grams["n"], strict=True)))
+    restore = toxicity.Restorer(model)
     for text, word in {"1d10t": "idiot", "$tup1d!!": "stupid", "moooron": "moron", "L0SER": "loser", "p@thet1c": "pathetic", "w0rthle$s": "worthless", "c.l.o.w.n": "clown", "you i d i o t !": "idiot", "t r 4 s h": "trash"}.items():
         assert word in restore.words(text), text
+    texts = ["1d10t moron moron", None, "", "s c u m and t r 4 s h", "x idi0t!!"]
+    at = {"idiot": 0, "moron": 1, "trash": 2}
+    own = [{at[f] for f in toxicity.features(restore.words(t)) if f in at} for t in texts]
+    rows, found = toxicity.present(pa.array(texts), restore, at)
+    assert sorted(zip(rows.tolist(), found.tolist(), strict=True)) == sorted((i, f) for i, x in enumerate(own) for f in x) and len(rows) == 4
     assert restore.words("This, that.") == {"this", "that"} and restore.words(None) == restore.words("") == set()
 
 
