@@ -3,9 +3,11 @@
 A line is split at spaces; tokens with a digit are variable fields and become ``<*>``. The tree has a fixed depth: the token count,
 then the first ``depth`` tokens. In a leaf that ``min_docs`` documents share, a position whose commonest token covers less than
 half of the lines is a variable field too, if the leaf's constant positions make up ``similarity`` of the tokens at least (the
-lines are then one template); otherwise each line is its own template. A template recurs when ``min_docs`` documents hold it
-(``long_docs``, if it has ``long_tokens`` tokens or more) in different surroundings: the distinct lines before it, or those
-after it, number more than half of the documents. Lines of recurring templates with ``min_tokens`` tokens or more are dropped
+lines are then one template); otherwise each line is its own template. A template recurs when ``min_docs`` different texts hold
+it; copies of a text count once. One of ``long_tokens`` tokens or more also recurs when ``long_docs`` different texts hold it in
+different surroundings: the distinct lines before it, or those after it, number ``long_docs``, or more than half of the texts.
+Recurring lines are no surroundings, so a block is taken from its ends inwards; at a text's edge the line on the other side
+stands in for the missing one. Lines of recurring templates with ``min_tokens`` tokens or more are dropped
 from every document, but for documents of which they are more than half of the lines, and three or more: these are copies of
 other documents as a whole, which are left to near-dedup.
 
@@ -20,7 +22,7 @@ empty; columns of the input named like the results are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -38,21 +40,18 @@ def _size(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(row, at, size, leaf, line, before, after) of every line; line, before and after are hashes of masked lines, leaf of the leading tokens."""
+    """(row, copy, at, n_lines, size, leaf, line) of every line; copy is the hash of the text, line of the masked line, leaf of its leading tokens."""
     masked = F.transform(F.split("text", "\n"), _masked)
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), masked.alias("l"))
-    hashed = rows.select("row", "l", F.transform("l", lambda line: F.xxhash64(line)).alias("hashes"))
-    exploded = hashed.select("row", "hashes", F.posexplode("l").alias("at", "line"))
-    around = lambda step, ok: F.when(ok, F.expr(f"hashes[at {step} 1]")).otherwise(0)
+    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("copy"), masked.alias("l"))
+    exploded = rows.select("row", "copy", F.size("l").alias("n_lines"), F.posexplode("l").alias("at", "line"))
     return exploded.select(
         "row",
+        "copy",
         "at",
-        F.size("hashes").alias("n_lines"),
+        "n_lines",
         _size(F.col("line")).alias("size"),
         F.xxhash64(F.substring_index("line", " ", depth)).alias("leaf"),
-        F.expr("hashes[at]").alias("line"),
-        around("-", F.col("at") > 0).alias("before"),
-        around("+", F.col("at") < F.size("hashes") - 1).alias("after"),
+        F.xxhash64("line").alias("line"),
     )
 
 
@@ -88,16 +87,41 @@ def recurring(
         lines = written(_generalised(lines, docs, fields, depth, broadcast_rows), "templates")
     else:
         lines = lines.withColumn("template", F.col("line"))
-    # Templates with too few lines go first, by a plain count; what is left is counted by documents and surroundings.
+    # Templates with too few lines go first, by a plain count; what is left is counted by different texts.
     long = lines.where(F.col("size") >= min_tokens)
-    enough = F.when(F.col("size") >= long_tokens, long_docs).otherwise(min_docs)
+    enough = F.when(F.col("size") >= long_tokens, min(long_docs, min_docs)).otherwise(min_docs)
     many = long.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     many = written(many.where(F.col("n") >= enough).select("template"), "many")
-    once = long.join(_small(many, broadcast_rows), "template", "left_semi").groupBy("template", "row").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.max("size").alias("size"))
-    counts = [F.count(F.lit(1)).alias("docs"), F.approx_count_distinct("before", 0.02).alias("befores"), F.approx_count_distinct("after", 0.02).alias("afters"), F.max("size").alias("size")]
-    often = once.groupBy("template").agg(*counts)
-    found = often.where((F.col("docs") >= enough) & (2 * F.greatest("befores", "afters") > F.col("docs")))
-    return lines, written(found.select("template", "docs"), "recurring")
+    once = long.join(_small(many, broadcast_rows), "template", "left_semi").groupBy("template", "copy").agg(F.min("row").alias("row"), F.max("size").alias("size"))
+    once = written(once, "held")
+    counts = once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.max("size").alias("size"))
+    counts = written(counts.where(F.col("docs") >= enough), "counts")
+    found = written(counts.where(F.col("docs") >= min_docs).select("template", "docs"), "recurring")
+    few = written(counts.where(F.col("docs") < min_docs).select("template", "docs"), "few")
+    return lines, _surrounded(lines, once, found, few, long_docs, broadcast_rows)
+
+
+def _surrounded(lines: DataFrame, once: DataFrame, found: DataFrame, few: DataFrame, long_docs: int, broadcast_rows: int) -> DataFrame:
+    """``found`` and those templates of ``few`` (template, docs) that recur by their surroundings, taken in rounds until no more recur."""
+    if not few.limit(1).count():
+        return found
+    held = written(once.join(_small(few, broadcast_rows), "template", "left_semi").select("row").distinct(), "holders")
+    whole = written(lines.join(_small(held, broadcast_rows), "row", "left_semi").select("row", "at", "line", "template").distinct(), "whole")
+    up, down = (Window.partitionBy("row").orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.asc("at"), F.desc("at")))
+    while True:
+        marked = whole.join(_small(found.select("template", F.lit(True).alias("gone")), broadcast_rows), "template", "left")
+        other = F.when(F.col("gone").isNull(), F.col("line"))
+        around = marked.withColumns({"up": F.last(other, True).over(up), "down": F.last(other, True).over(down)})
+        sides = around.select("template", "row", F.coalesce("up", F.xxhash64("down", F.lit(1)), F.lit(0)).alias("before"), F.coalesce("down", F.xxhash64("up", F.lit(1)), F.lit(0)).alias("after"))
+        by_text = sides.join(_small(few, broadcast_rows), "template").groupBy("template", "row").agg(F.min("docs").alias("docs"), F.min("before").alias("before"), F.min("after").alias("after"))
+        # Fewer than min_docs texts hold a template here, so its sets are small.
+        number = F.greatest(F.size(F.collect_set("before")), F.size(F.collect_set("after"))).alias("n")
+        more = by_text.groupBy("template").agg(F.min("docs").alias("docs"), number)
+        more = written(more.where((F.col("n") >= long_docs) | (2 * F.col("n") > F.col("docs"))).select("template", "docs"), "more")
+        if not more.limit(1).count():
+            return found
+        found = written(found.union(more), "recurring")
+        few = written(few.join(_small(more, broadcast_rows), "template", "left_anti"), "few")
 
 
 def _generalised(lines: DataFrame, docs: DataFrame, fields: DataFrame, depth: int, broadcast_rows: int) -> DataFrame:

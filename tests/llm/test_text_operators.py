@@ -128,6 +128,25 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert out[100].text == copied and out[200].text == "" and out[300].n_lines == 0 and out[5].n_dropped == 3
 
 
+def test_blocks_edges_and_copies_recur(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    prose = lambda n=12: " ".join(word() for _ in range(n))
+    head, foot, often = prose(5), [prose(5) for _ in range(4)], prose(5)
+    docs = [(i, "\n".join([head, *(prose() for _ in range(6)), *foot])) for i in range(12)]
+    docs += [(20 + i, f"{often}\n{prose()}" if i % 2 else f"{prose()}\n{often}") for i in range(12)]
+    copied = f"{prose()}\n{often}\n{prose()}"
+    docs += [(40 + i, copied) for i in range(40)]
+    long = [prose(60) for _ in range(3)]
+    docs += [(100 + i, "\n".join([prose(), *long, *(prose() for _ in range(3))])) for i in range(3)]
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    text = {d: t.split("\n") for d, t in docs}
+    assert all(out[i] == text[i][1:7] for i in range(12))
+    assert all(len(out[20 + i]) == 1 and often not in out[20 + i] for i in range(12))
+    assert all(out[40 + i] == [text[40][0], text[40][2]] for i in range(40))
+    assert all(out[100 + i] == [text[100 + i][0], *text[100 + i][-3:]] for i in range(3))
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
