@@ -8,8 +8,7 @@ it; copies of a text count once. One of ``long_tokens`` tokens or more also recu
 different surroundings: the distinct lines before it, or those after it, number ``long_docs``, or more than half of the texts.
 Recurring lines are no surroundings, so a block is taken from its ends inwards; at a text's edge the line on the other side
 stands in for the missing one. Lines of recurring templates with ``min_tokens`` tokens or more are dropped
-from every document, but for documents of which they are more than half of the lines, and three or more: these are copies of
-other documents as a whole, which are left to near-dedup.
+from every document, whatever share of its lines they are.
 
 Lines are compared by 64-bit hashes. Texts are shuffled once, to meet the numbers of their dropped lines; a line that a
 third of all documents holds is a key of pre-aggregated counts and of skewed joins that adaptive execution splits, and sets of
@@ -40,15 +39,14 @@ def _size(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(row, copy, at, n_lines, size, leaf, line) of every line; copy is the hash of the text, line of the masked line, leaf of its leading tokens."""
+    """(row, copy, at, size, leaf, line) of every line; copy is the hash of the text, line of the masked line, leaf of its leading tokens."""
     masked = F.transform(F.split("text", "\n"), _masked)
     rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("copy"), masked.alias("l"))
-    exploded = rows.select("row", "copy", F.size("l").alias("n_lines"), F.posexplode("l").alias("at", "line"))
+    exploded = rows.select("row", "copy", F.posexplode("l").alias("at", "line"))
     return exploded.select(
         "row",
         "copy",
         "at",
-        "n_lines",
         _size(F.col("line")).alias("size"),
         F.xxhash64(F.substring_index("line", " ", depth)).alias("leaf"),
         F.xxhash64("line").alias("line"),
@@ -137,8 +135,7 @@ def dropped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadca
     lines, found = recurring(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), broadcast_rows=broadcast_rows, **options)
     least = options.get("min_tokens", 3)
     hit = lines.where(F.col("size") >= least).join(_small(found.select("template"), broadcast_rows), "template", "left_semi")
-    by_row = hit.groupBy("row").agg(F.collect_set("at").alias("lines"), F.max("n_lines").alias("n"))
-    return by_row.where((F.size("lines") < 3) | (2 * F.size("lines") <= F.col("n"))).select("row", "lines")
+    return hit.groupBy("row").agg(F.collect_set("at").alias("lines"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -147,6 +147,15 @@ def test_blocks_edges_and_copies_recur(spark):
     assert all(out[100 + i] == [text[100 + i][0], *text[100 + i][-3:]] for i in range(3))
 
 
+def test_documents_of_mostly_boilerplate_lose_it(spark):
+    rng = random.Random(4)
+    prose = lambda n=12: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(n))
+    menu = [prose(5) for _ in range(4)]
+    docs = [(i, "\n".join([*menu[:2], prose(), *menu[2:]])) for i in range(12)]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {i: (t.split("\n")[2], 4) for i, t in docs}
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
