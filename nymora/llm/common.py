@@ -41,11 +41,11 @@ def fold(column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``links`` (a: long, b: long), root being the smallest node of the component.
 
     Alternates the large-star and small-star steps of the MapReduce connected-components algorithm, as
-    aggregations and joins; each round is written to the shared folder. Rounds grow with the logarithm of the
+    aggregations and joins, until nothing changes; each round is written to the shared folder. Rounds grow with the logarithm of the
     component size. A hub with very many links is a skewed join key, which adaptive execution splits.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -54,7 +54,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
 
     before = sign(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
