@@ -165,7 +165,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
         yield b == n - 1, [tuple(r) for r in benchmark.where(F.pmod(F.xxhash64(item_id, text), F.lit(n)) == b).select(F.col(item_id).cast("string"), text).collect()]
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """The ``keep`` columns of each document with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit at least a twentieth of n_words)."""
     spark = docs.sparkSession
     names = {name for name, _ in RESULT}

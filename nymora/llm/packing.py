@@ -1,9 +1,9 @@
 """Packing token ids into sequences: first-fit decreasing with a tournament tree of bin capacities, in random groups of documents.
 
 A document is cut at multiples of the sequence length; its pieces are placed by length, longest first, each in the first
-sequence with room. Groups are drawn by a hash of the document, so that each is a fair sample of lengths, holds
+sequence with room. Groups are drawn by a hash of the row's number, so that each is a fair sample of lengths, holds
 ``docs_per_group`` documents on average at any size of the input, and is packed by itself: only (document, start, length,
-checksum) rows are shuffled, never ids. ``sequence_id`` is ``group * 2**31 + number in the group``.
+checksum) rows are shuffled, never ids. Rows are numbered before, so that repeated ones fall into different groups. ``sequence_id`` is ``group * 2**31 + number in the group``.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows; other
 columns are ignored; a null doc_id is kept as null. Ties in length are taken by document, start and checksum.
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text: str = "tex
             names = ["doc_id", "_row", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("_row"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
 

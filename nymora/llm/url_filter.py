@@ -4,7 +4,7 @@
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the default verdict; a rule fits its
 host and every subdomain if the url's path starts with the rule's path (``net/es/`` has the path ``/es/``); of several
-fitting rules the one with more host labels wins, then the one with the longer path, then block over allow. The rules are
+fitting rules the longest text wins, then the one with more host labels, then block over allow. Hosts are compared without regard to the case of A-Z. The rules are
 checked against ``max_rules`` before they are broadcast; beyond that they are joined by host suffix instead. Columns of the
 input with the names of the results are replaced; rows are kept one for one, repeated rows too.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = str.maketrans(*CASES)
 RESULT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
 
@@ -46,7 +48,7 @@ def build(rules: Iterable[tuple[str, str]]) -> _Node:
     for rule, verdict in rules:
         host, _, path = rule.partition("/")
         node = root
-        for label in reversed(host.lower().split(".")):
+        for label in reversed(host.translate(LOWER).split(".")):
             node = node.labels.setdefault(label, _Node())
         node.paths = node.paths or _Path()
         at, (*whole, rest) = node.paths, path.split("/")
@@ -61,7 +63,7 @@ def build(rules: Iterable[tuple[str, str]]) -> _Node:
 
 
 def lookup(root: _Node, host: str, path: str) -> tuple[str, str] | None:
-    """The longest rule that fits; deeper hosts come before longer paths."""
+    """The longest rule that fits; of equally long ones that of the deeper host."""
     if not path.startswith("/") or not host:
         return None
     node, levels = root, []
@@ -71,7 +73,7 @@ def lookup(root: _Node, host: str, path: str) -> tuple[str, str] | None:
             break
         if node.paths:
             levels.append(node.paths)
-    segments = path[1:].split("/")
+    segments, longest = path[1:].split("/"), None
     for at in reversed(levels):
         best = None
         for i, segment in enumerate(segments):
@@ -83,9 +85,9 @@ def lookup(root: _Node, host: str, path: str) -> tuple[str, str] | None:
             if i == len(segments) - 1 or segment not in at.segments:
                 break
             at = at.segments[segment]
-        if best:
-            return best
-    return None
+        if best and (longest is None or len(best[0]) > len(longest[0])):
+            longest = best
+    return longest
 
 
 class URLFilter:
@@ -105,7 +107,7 @@ class URLFilter:
         host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
         tail = F.substring(rest, F.length(host) + 1, F.length(url))
         has = F.coalesce(at > 0, F.lit(False))
-        lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        lower = F.translate(host, *CASES)
         return df.withColumns({"host": F.when(has, lower).otherwise(""), "path": F.when(has, F.regexp_extract(tail, r"(?s)^([^?#]*)", 1)).otherwise("")})
 
     def judge(self, df: DataFrame, column: str = "url") -> DataFrame:
@@ -133,9 +135,9 @@ def judge_joined(df: DataFrame, rules: DataFrame, column: str = "url", default:
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     ours = urls.where("host <> ''").withColumn("_host", F.explode(suffix))
-    theirs = rules.select("rule", "verdict", F.lower(F.substring_index("rule", "/", 1)).alias("_host"), F.expr("substring(rule, instr(rule, '/'), length(rule))").alias("_path"))
+    theirs = rules.select("rule", "verdict", F.translate(F.substring_index("rule", "/", 1), *CASES).alias("_host"), F.expr("substring(rule, instr(rule, '/'), length(rule))").alias("_path"))
     fits = ours.join(theirs, "_host").where(F.expr("startswith(path, _path)"))
-    rank = F.struct(F.size(F.split("_host", r"\.")), F.length("_path"), (F.col("verdict") == "block").cast("int"), "rule")
+    rank = F.struct(F.length("rule"), F.size(F.split("_host", r"\.")), (F.col("verdict") == "block").cast("int"), "rule")
     best = fits.groupBy("_url").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_best"))
     out = URLFilter.parts(df, column).join(best.withColumnRenamed("_url", "_u"), F.col(column) == F.col("_u"), "left")
     return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best", "_u")
