@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed, scan
-from .trie import Trie, restore
+from .lookup import Lookup, restore
 
 ENTITY = "struct<type:string,value:string,start:int,end:int,detector:string,confidence:double>"
 
@@ -81,8 +81,8 @@ def register(spark: SparkSession, vault: DataFrame | None = None, max_mappings:
 
     @F.pandas_udf("string")
     def restore_pii(texts: pd.Series) -> pd.Series:
-        trie = once("restore", lambda r: Trie((s, o) for _, o, s in r))
-        return texts.map(lambda t: None if t is None else restore(t, trie))
+        lookup = once("restore", lambda r: Lookup((s, o) for _, o, s in r))
+        return texts.map(lambda t: None if t is None else restore(t, lookup))
 
     @F.arrow_udf(f"array<{FINDING}>")
     def audit_pii(texts: pa.Array) -> pa.Array:

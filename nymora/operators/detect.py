@@ -13,7 +13,7 @@ from ..functions.scan import DETECTORS, scan
 from .spans import ENTITIES
 
 ARROW = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("detector", pa.string()), ("confidence", pa.float64())]))
-#: Every default detector needs one of these; a row without any isn't sent to Python.
+#: Every default detector needs one of these; the text of a row without any isn't sent to Python.
 SIGNAL = r"(?U)[@:+]|\d\D{0,2}\d|(?i:key|pass|secret|token|cookie|authorization)|[A-Za-z0-9+/_=.-]{20}"
 ADDRESS_SIGNAL = r"|(?U)\d[A-Za-z]?\s"
 
@@ -39,6 +39,10 @@ def entities(text: Column | str, field: Column | str | None = None, detectors: I
     text = F.col(text) if isinstance(text, str) else text
     field = F.col(field) if isinstance(field, str) else field
     empty = F.array().cast(ENTITIES)
+    if not names:
+        # A function under a condition is computed for every row, so its argument is nulled: texts without a signal don't travel.
+        worth = text.rlike(SIGNAL + (ADDRESS_SIGNAL if "address" in detectors else ""))
+        text = F.when(worth if field is None else worth | field.isNotNull(), text)
     if field is None:
 
         @F.arrow_udf(ENTITIES)
@@ -53,12 +57,7 @@ def entities(text: Column | str, field: Column | str | None = None, detectors: I
             return _rows(texts, fields, detectors, names, resolved)
 
         found = find_in(text, field)
-    if names:
-        return found
-    worth = text.rlike(SIGNAL + (ADDRESS_SIGNAL if "address" in detectors else ""))
-    if field is not None:
-        worth = worth | field.isNotNull()
-    return F.when(worth, F.coalesce(found, empty)).otherwise(empty)
+    return F.coalesce(found, empty)
 
 
 def detect(df: DataFrame, text: str = "text", field: str | None = None, **options) -> DataFrame:

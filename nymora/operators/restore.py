@@ -1,6 +1,6 @@
 """Surrogates in text back to originals: exact, tolerant, or within JSON.
 
-Small vaults (counted, at most ``broadcast_rows`` mappings) are broadcast as tries. Beyond that each row gets the mappings of its own
+Small vaults (counted, at most ``broadcast_rows`` mappings) are broadcast as lookups. Beyond that each row gets the mappings of its own
 vault by a join, if no single vault is larger than that; for a larger one placeholders are joined one by one.
 """
 
@@ -10,19 +10,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.trie import Trie, restore as restore_text, restore_json
+from ..functions.lookup import Lookup, restore as restore_text, restore_json
 from .spans import rewrite
+from .tables import stored
 
 MODES = ("text", "json")
 
 
-def _apply(texts, tries, tolerant: bool, mode: str) -> pa.Array:
+def _apply(texts, lookups, tolerant: bool, mode: str) -> pa.Array:
     out = []
-    for t, trie in zip(texts, tries, strict=True):
-        out.append(t if t is None or trie is None else restore_json(t, trie) if mode == "json" else restore_text(t, trie, tolerant))
+    for t, lookup in zip(texts, lookups, strict=True):
+        out.append(t if t is None or lookup is None else restore_json(t, lookup) if mode == "json" else restore_text(t, lookup, tolerant))
     return pa.array(out, pa.string())
 
 
+def _broadcast(pairs: DataFrame):
+    """A function that gives a vault's lookup, made once a worker; ``pairs`` were counted to be few."""
+    by: dict[str, list] = {}
+    for v, s, o in pairs.collect():
+        by.setdefault(v, []).append((s, o))
+    shared, made = pairs.sparkSession.sparkContext.broadcast(by), {}
+
+    def lookup(v: str | None) -> Lookup | None:
+        if v not in made and v in shared.value:
+            made[v] = Lookup(shared.value[v])
+        return made.get(v)
+
+    return lookup
+
+
+def unfaithful(df: DataFrame, vault: DataFrame, text: str, source: str, vault_id: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows whose ``text`` isn't restored to ``source``, be it exactly or tolerantly."""
+    pairs = vault.select("vault_id", "surrogate", "original")
+    if pairs.limit(broadcast_rows + 1).count() > broadcast_rows:
+        bad = [restore(df, vault, text, vault_id, tolerant, broadcast_rows=broadcast_rows).where(~F.col("restored").eqNullSafe(F.col(source))) for tolerant in (False, True)]
+        return bad[0].unionByName(bad[1])
+    lookup = _broadcast(pairs)
+
+    @F.arrow_udf("boolean")
+    def same(texts: pa.Array, sources: pa.Array, vaults: pa.Array) -> pa.Array:
+        out = []
+        for t, s, v in zip(texts.to_pylist(), sources.to_pylist(), vaults.to_pylist(), strict=True):
+            own = lookup(v) if t is not None else None
+            out.append(t == s if own is None else restore_text(t, own, False) == s and restore_text(t, own, True) == s)
+        return pa.array(out, pa.bool_())
+
+    return df.where(~same(F.col(text), F.col(source), F.col(vault_id)))
+
+
 def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, tolerant: bool = True, mode: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """``df`` with ``restored``."""
     if mode not in MODES:
@@ -30,20 +65,11 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
     key = F.col(vault_id).cast("string") if vault_id else F.lit("")
     pairs = vault.select("vault_id", "surrogate", "original")
     if pairs.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by: dict[str, list] = {}
-        for v, s, o in pairs.collect():
-            by.setdefault(v, []).append((s, o))
-        shared = df.sparkSession.sparkContext.broadcast(by)
-        made: dict[str, Trie] = {}
+        lookup = _broadcast(pairs)
 
         @F.arrow_udf("string")
         def back(texts: pa.Array, vaults: pa.Array) -> pa.Array:
-            def trie(v):
-                if v not in made and v in shared.value:
-                    made[v] = Trie(shared.value[v])
-                return made.get(v)
-
-            return _apply(texts.to_pylist(), map(trie, vaults.to_pylist()), tolerant, mode)
+            return _apply(texts.to_pylist(), map(lookup, vaults.to_pylist()), tolerant, mode)
 
         return df.withColumn("restored", back(F.col(text), key))
     largest = pairs.groupBy("vault_id").count().agg(F.max("count")).head()[0]
@@ -55,8 +81,8 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
 
     @F.arrow_udf("string")
     def back_own(texts: pa.Array, own: pa.Array) -> pa.Array:
-        tries = (Trie((x["surrogate"], x["original"]) for x in p) if p else None for p in own.to_pylist())
-        return _apply(texts.to_pylist(), tries, tolerant, mode)
+        lookups = (Lookup((x["surrogate"], x["original"]) for x in p) if p else None for p in own.to_pylist())
+        return _apply(texts.to_pylist(), lookups, tolerant, mode)
 
     joined = df.withColumn("_key", key).join(lists.withColumnRenamed("vault_id", "_key"), "_key", "left")
     return joined.withColumn("restored", back_own(F.col(text), F.col("_pairs"))).drop("_pairs", "_key")
@@ -73,17 +99,19 @@ def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_
     """
     from ..functions.native import match_spans
 
-    keyed = df.withColumn("_key", F.col(vault_id).cast("string") if vault_id else F.lit(""))
+    own = F.col(vault_id).cast("string") if vault_id else F.lit("")
+    numbered = stored(df.withColumns({"_key": own, "_n": F.monotonically_increasing_id()}))
     finder = f"(?i){pattern}" if tolerant else pattern
-    found = keyed.select("_key", F.col(text).alias("_t")).distinct().select("_key", "_t", F.explode(match_spans(F.col("_t"), finder)).alias("s"))
-    found = found.select("_key", "_t", "s.start", "s.end", F.col("s.value").alias("_s"))
+    found = numbered.where(F.col(text).rlike(finder)).select("_key", "_n", F.explode(match_spans(F.col(text), finder)).alias("s"))
+    found = found.select("_key", "_n", "s.start", "s.end", F.col("s.value").alias("_s"))
     pairs = vault.select(F.col("vault_id").alias("_key"), F.col("surrogate").alias("_s"), "original")
     hit = found.join(pairs, ["_key", "_s"])
     if tolerant:
         loose = pairs.groupBy("_key", F.lower("_s").alias("_low")).agg(F.min("original").alias("original"), F.max("original").alias("other")).where("original = other").drop("other")
         rest = found.join(pairs, ["_key", "_s"], "left_anti").withColumn("_low", F.lower("_s"))
         hit = hit.unionByName(rest.join(loose, ["_key", "_low"]).drop("_low"))
-    changes = hit.groupBy("_key", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("original").alias("surrogate")))).alias("_c"))
-    joined = keyed.withColumn("_t", F.col(text)).join(changes, ["_key", "_t"], "left")
+    changes = hit.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("original").alias("surrogate")))).alias("_c"))
+    # Only rows with a change meet their changes; a text is never a key.
     none = F.array().cast("array<struct<start:int,end:int,surrogate:string>>")
-    return joined.withColumn("restored", rewrite(F.col("_t"), F.coalesce("_c", none))).drop("_key", "_t", "_c")
+    joined = numbered.join(changes, "_n", "left")
+    return joined.withColumn("restored", rewrite(F.col(text), F.coalesce("_c", none))).drop("_key", "_n", "_c")

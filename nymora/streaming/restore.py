@@ -15,32 +15,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.trie import JSONStream, TextStream, Trie
+from ..functions.lookup import JSONStream, TextStream, Lookup
 
 CHUNKS = "stream_id string, block int, seq long, chunk string, final boolean"
 OUTPUT = "stream_id string, block int, seq long, text string"
 STATE = "next long, waiting string, held string, done boolean"
 
 
-def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000) -> DataFrame:
-    """``chunks`` restored by one vault (exact matching); ``mode`` json decodes string values of serialized JSON."""
+def _shared(chunks: DataFrame, vault: DataFrame, vault_of: str, max_mappings: int):
+    """The vault's pairs, broadcast after a count."""
     pairs = vault.where(F.col("vault_id") == vault_of).select("surrogate", "original")
     if pairs.limit(max_mappings + 1).count() > max_mappings:
         raise ValueError(f"more than {max_mappings} mappings; restore streams by smaller vaults")
-    shared = chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in pairs.collect()])
+    return chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in pairs.collect()])
+
+
+def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000) -> DataFrame:
+    """``chunks`` restored by one vault (exact matching); ``mode`` json decodes string values of serialized JSON."""
+    shared = _shared(chunks, vault, vault_of, max_mappings)
     kind = JSONStream if mode == "json" else TextStream
-    tries: list[Trie] = []
+    lookups: list[Lookup] = []
 
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not tries:
-            tries.append(Trie(shared.value))
+        if not lookups:
+            lookups.append(Lookup(shared.value))
         next_, waiting, held, done = state.get if state.exists else (0, "{}", "", False)
         ready = json.loads(waiting)
         for batch in batches:
             for seq, chunk, final in zip(batch["seq"], batch["chunk"], batch["final"], strict=True):
                 if seq >= next_:
                     ready.setdefault(str(int(seq)), [chunk or "", bool(final)])
-        stream = kind.load(tries[0], held) if held else kind(tries[0])
+        stream = kind.load(lookups[0], held) if held else kind(lookups[0])
         out = []
         while not done and str(next_) in ready:
             chunk, final = ready.pop(str(next_))
@@ -52,13 +57,15 @@ def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vaul
     return chunks.groupBy("stream_id", "block").applyInPandasWithState(feed, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def restore_chunks(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "") -> DataFrame:
+def restore_chunks(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000) -> DataFrame:
     """The batch counterpart: each key's chunks sorted by seq and fed in turn."""
-    shared = chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in vault.where(F.col("vault_id") == vault_of).select("surrogate", "original").collect()])
+    shared, made = _shared(chunks, vault, vault_of, max_mappings), []
     kind = JSONStream if mode == "json" else TextStream
 
     def feed(frame: pd.DataFrame) -> pd.DataFrame:
-        stream, frame = kind(Trie(shared.value)), frame.sort_values("seq")
+        if not made:
+            made.append(Lookup(shared.value))
+        stream, frame = kind(made[0]), frame.sort_values("seq")
         frame["text"] = [stream.feed(c or "", bool(f)) for c, f in zip(frame["chunk"], frame["final"], strict=True)]
         return frame[["stream_id", "block", "seq", "text"]]
 

@@ -11,7 +11,7 @@ from nymora.functions import native, scan
 from nymora.functions.scan import KnownNames
 from nymora.functions.sql import register
 from nymora.functions.surrogates import Custom, Placeholders, Realistic
-from nymora.functions.trie import JSONStream, TextStream, Trie, restore, restore_json
+from nymora.functions.lookup import JSONStream, TextStream, Lookup, restore, restore_json
 from nymora.operators import audit, documents, evaluate, spans
 from nymora.operators import mask as masking
 from nymora.operators import restore as restoring
@@ -120,33 +120,33 @@ PAIRS = [("⟨EMAIL_1⟩", "a@b.c"), ("⟨EMAIL_12⟩", "x"), ("Avery Alder", 'J
 
 
 def test_tolerant_restoration():
-    trie = Trie(PAIRS)
-    assert restore("avery  alder's AVERY\nALDER averyalder avery alderman ⟨email_1⟩x", trie) == 'Jane "J" Doe\'s Jane "J" Doe averyalder Al alderman a@b.cx'
-    assert restore("Averyx xAvery avery", trie, False) == "Alx xAl avery"
-    assert restore("x", Trie([("Aa", "1"), ("aA", "2")])) == "x" and restore("aa", Trie([("Aa", "1"), ("aA", "2")])) == "aa"
-    assert restore("avery castilló", Trie([("Avery Castillo", "1")])) == "avery castilló"
+    lookup = Lookup(PAIRS)
+    assert restore("avery  alder's AVERY\nALDER averyalder avery alderman ⟨email_1⟩x", lookup) == 'Jane "J" Doe\'s Jane "J" Doe averyalder Al alderman a@b.cx'
+    assert restore("Averyx xAvery avery", lookup, False) == "Alx xAl avery"
+    assert restore("x", Lookup([("Aa", "1"), ("aA", "2")])) == "x" and restore("aa", Lookup([("Aa", "1"), ("aA", "2")])) == "aa"
+    assert restore("avery castilló", Lookup([("Avery Castillo", "1")])) == "avery castilló"
 
 
 def test_streams_don_t_depend_on_chunks():
-    rng, trie = random.Random(3), Trie(PAIRS)
+    rng, lookup = random.Random(3), Lookup(PAIRS)
     pattern = re.compile("|".join(re.escape(s) for s, _ in sorted(PAIRS, key=lambda p: -len(p[0]))))
     for _ in range(300):
         text = "".join(rng.choice(["⟨EM", "AIL_1", "2⟩", "⟩", "Avery", " Alder", "a", "b", "aab", " ", "⟨"]) for _ in range(12))
         want = pattern.sub(lambda m: dict(PAIRS)[m[0]], text)
-        stream, out, at = TextStream(trie), "", 0
+        stream, out, at = TextStream(lookup), "", 0
         while at < len(text):
             n = rng.randint(1, 5)
             out += stream.feed(text[at : at + n])
-            stream = TextStream.load(trie, stream.state())
+            stream = TextStream.load(lookup, stream.state())
             at += n
-        assert out + stream.feed("", True) == want == restore(text, trie, False)
+        assert out + stream.feed("", True) == want == restore(text, lookup, False)
         doc = json.dumps({"⟨EMAIL_1⟩": [text, 1.5, {"k": text}]}, ensure_ascii=rng.random() < 0.5)
-        assert json.loads(restore_json(doc, trie)) == {"⟨EMAIL_1⟩": [want, 1.5, {"k": want}]}
-        stream, out = JSONStream(trie), ""
+        assert json.loads(restore_json(doc, lookup)) == {"⟨EMAIL_1⟩": [want, 1.5, {"k": want}]}
+        stream, out = JSONStream(lookup), ""
         for c in doc:
             out += stream.feed(c)
-            stream = JSONStream.load(trie, stream.state())
-        assert out + stream.feed("", True) == restore_json(doc, trie)
+            stream = JSONStream.load(lookup, stream.state())
+        assert out + stream.feed("", True) == restore_json(doc, lookup)
 
 
 def test_structured_stream(spark, batch, tmp_path):
