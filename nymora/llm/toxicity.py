@@ -347,8 +347,10 @@ def _apart(distinct: pa.Array, codes: np.ndarray, begins: np.ndarray, restore: R
     short = np.zeros(len(distinct) + 1, bool)
     short[[i for i, t in text.items() if _single(t)]] = True
     at = np.flatnonzero(short[codes])
+    if not len(at):
+        return np.zeros(0, "int64"), []
     row = np.searchsorted(begins, at, "right") - 1
-    new = np.append(True, (np.diff(at) != 1) | (np.diff(row) != 0)) if len(at) else np.zeros(0, bool)
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(row) != 0))
     starts = np.flatnonzero(new)
     rows, out = [], []
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist(), strict=True):

@@ -60,7 +60,7 @@ def test_cells_and_chunks_lose_no_link(spark):
     signed = [(int(np.uint64(p).astype("int64")),) for p in points]
     want = brute_components(list(enumerate(points)))
     for cell_points in (4, 2048):
-        found = connected(simhash.links(spark.createDataFrame(signed, "fp long"), cell_points=cell_points)).collect()
+        found = connected(simhash.links(simhash._cells(spark.createDataFrame(signed, "fp long")), 3, cell_points)).collect()
         root = {r.node: r.root for r in found}
         groups = {}
         for (s,), w in zip(signed, want, strict=True):
@@ -68,10 +68,65 @@ def test_cells_and_chunks_lose_no_link(spark):
         assert len(set(groups.values())) == len(groups)
 
 
+def brute_similar(rows, size=5, similarity=0.8):
+    """rows: (doc_id, text); the smallest doc_id of each group of texts linked by Jaccard similarity."""
+    by = {}
+    for doc, text in rows:
+        w = tuple((text or "").encode().lower().split())
+        by[w] = min(by.get(w, doc), doc)
+    sets = [({w[i : i + size] for i in range(max(1, len(w) - size + 1))} if w else set(), doc) for w, doc in by.items()]
+    held = {}
+    for i, (s, _) in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in {(i, j) for own in held.values() for i in own for j in own if i < j}:
+        a, b = sets[j[0]][0], sets[j[1]][0]
+        if len(a & b) >= similarity * len(a | b):
+            root[find(j[0])] = find(j[1])
+    least = {}
+    for i, (_, doc) in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return set(least.values())
+
+
+def test_similar_texts_of_the_whole_table(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == brute_similar([tuple(r) for r in docs.collect()])
+
+
+def test_near_copies_of_one_text(spark):
+    """A family whose members are near copies of the first one, but not of each other; small tasks and chunks lose no link."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    first = [word() for _ in range(200)]
+    rows = [(0, " ".join(first))]
+    for i in range(1, 60):
+        own = list(first)
+        for at in rng.sample(range(200), 3):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)]
+    want = brute_similar(rows)
+    assert want == {0, *range(100, 120)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"cell_points": 8, "task_shingles": 2000, "broadcast_rows": 1}):
+        assert {r.doc_id for r in simhash.deduplicated(df, **options).collect()} == want
+
+
 def test_deduplicated_keeps_one_of_each(spark):
-    rows = [(3, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (None, "q r s t", "z"), (None, "q r s t", "z"), (5, None, "n"), (4, "", "e"), (9, "quite another text here", "o")]
-    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, keeper string")).collect()
-    assert sorted(map(tuple, out), key=str) == sorted([(1, "a b c d", "y"), (None, "q r s t", "z"), (4, "", "e"), (9, "quite another text here", "o")], key=str)
+    long = "word " * 100_000 + "end"
+    rows = [(3, "a b c d", "x"), (1, "A  b c d", "y"), (1, "A  b c d", "y"), (None, "q r s t", "z"), (None, "q r s t", "z"), (5, None, "n"), (4, "", "e"), (9, "quite another text here", "o"), (11, long, "l"), (10, long, "l")]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _hashed string")).collect()
+    want = [(1, "A  b c d", "y"), (None, "q r s t", "z"), (4, "", "e"), (9, "quite another text here", "o"), (10, long, "l")]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+    assert simhash.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_empty_table(spark):

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -69,6 +71,11 @@ def test_language_of_odd_texts(spark):
     out = {r.doc_id: r for r in langid.identify(odd, model, ["doc_id"]).collect()}
     assert [out[i].lang_pred for i in range(1, 6)] == ["und", "und", "und", "de", "en"]
     assert all(out[i].rejected and out[i].score == 0 for i in (1, 2, 3))
+    assert not out[4].rejected and langid.Model([("a", b"same words here"), ("b", b"same words here")]).predict("same words " * 200)[3]
+    long = langid.identify(spark.createDataFrame([(1, "der Hund und die Katze " * 50_000)] * 2, "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert [r.lang_pred for r in long] == ["de", "de"] and langid.identify(odd.where("false"), model, ["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        langid.fit(rows, max_languages=1)
     nothing = langid.fit(rows.where("false"))
     assert [r.lang_pred for r in langid.identify(odd, nothing, ["doc_id"]).collect()] == ["und"] * 5
 
@@ -185,37 +192,150 @@ def test_base_spans_match_plain_regexes(spark, tables):
         assert set(listed) <= set(r.spans.split(","))
 
 
-def test_random_runs_are_told_from_patterns(spark):
+def words_of_letters(rng, n=800):
+    return ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n)]
+
+
+def test_random_runs_are_told_from_words_and_patterns(spark):
     rng = random.Random(5)
+    words = words_of_letters(rng)
+    prose = lambda n: " ".join(rng.choices(words, k=n))
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    good = ["".join(rng.choices(alphabet, k=40)) for _ in range(40)]
+    good = ["".join(rng.choices(alphabet, k=k)) for k in (20, 24, 32, 40, 64, 600, 9000) for _ in range(20)]
     bad = ["a1" * 20, "build_2024_release_candidate_1_x_x_x_x", "version-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "0000000000000000000000000000000000a1"] * 5
-    df = spark.createDataFrame([(i, f"some words {t} end") for i, t in enumerate(good + bad)], "doc_id long, text string")
-    out = {r.doc_id: len(r.random) for r in secrets.scan(df).collect()}
-    assert sum(out[i] for i in range(40)) >= 34 and sum(out[i] for i in range(40, 60)) == 0
+    bad += ["/".join(rng.choices(words, k=6)) for _ in range(100)] + ["".join(w.capitalize() for w in rng.choices(words, k=4)) for _ in range(100)]
+    df = spark.createDataFrame([(i, f"{prose(40)} {t} {prose(5)}") for i, t in enumerate(good + bad)], "doc_id long, text string")
+    out = {r.doc_id: [s.value for s in r.random] for r in secrets.scan(df).collect()}
+    assert sum(t in out[i] for i, t in enumerate(good)) >= 0.9 * len(good)
+    assert sum(bool(out[len(good) + i]) for i in range(len(bad))) <= 0.05 * len(good)
     assert secrets.scan(df.where("false")).count() == 0
 
 
+def brute_uncovered(text, least=16):
+    base = [False] * len(text)
+    for _, a, b in base_spans(text):
+        base[a:b] = [True] * (b - a)
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        for part in re.finditer("1+", "".join("0" if base[i] else "1" for i in range(*m.span()))):
+            a, b = m.start() + part.start(), m.start() + part.end()
+            if b - a >= least and re.search("[A-Za-z]", text[a:b]):
+                out.append((a, b, text[a:b]))
+    return out
+
+
+def brute_battery(value):
+    names = [(n, x) for n, p, x in secrets.ALPHABETS if re.match(p, value)]
+    name, letters = names[0]
+    own = value.rstrip("=") or value
+    own = own.lower() if name in ("hex", "base36") else own
+    x, n, k = [letters.index(c) + 1 if c in letters else 0 for c in own], len(own), len(letters)
+    cdf = lambda z: 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+    two = lambda z: 2 * (1 - cdf(abs(z)))
+    chi2 = max(0, k / n * sum(c * c for c in Counter(x).values()) - n)
+    d = k - 1
+    p = [1 - cdf(((chi2 / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))]
+    high = [v > k / 2 for v in x]
+    up = sum(high)
+    runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), 2 * up * (n - up) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p.append(0.5 ** (n - 1) if up in (0, n) else two((runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
+    mu = sum(x) / n
+    power = sum((v - mu) ** 2 for v in x)
+    p.append(two((sum((a - mu) * (b - mu) for a, b in zip(x, x[1:], strict=False)) / power + 1 / n) * math.sqrt(n)) if power > 1e-9 else 0.0)
+    return name, p
+
+
+def test_runs_and_tests_match_brute_force(spark):
+    rng = random.Random(8)
+    words = words_of_letters(rng)
+    junk = "ABCDEFabcdef0123456789+/_=-"
+    texts = []
+    for i in range(80):
+        run = "".join(rng.choices(junk if i % 2 else "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=rng.randint(10, 90)))
+        texts.append(" ".join([*rng.choices(words, k=5), f"é🔑 token={run[:9]} x{run}{'0af3' * rng.randint(4, 9)}{run}", *rng.choices(words, k=3), "AKIA" + "Q" * rng.randint(10, 20) + run]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.matches(df, "text", "doc_id", 16)
+    row = {r["_row"]: r.doc_id for r in found.select("doc_id", "_row").collect()}
+    spans = secrets.positioned(found).where("kind <> 'access' or length(value) >= 20")
+    spans = spans.where((spans.kind != "assign") | spans.value.rlike("(?i)[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"))
+    runs = secrets._uncovered(spans, 16)
+    got = sorted((row[r["_row"]], r.start, r.end, r.value) for r in runs.collect())
+    assert got == sorted((i, *part) for i, t in enumerate(texts) for part in brute_uncovered(t)) and len(got) > 80
+    for r in secrets.battery(runs.select("value")).collect():
+        name, p = brute_battery(r.value)
+        assert r.encoding == name and all(abs(a - b) < 1e-9 for a, b in zip((r.p_chi2, r.p_runs, r.p_serial), p, strict=True))
+
+
+def test_many_matches_in_one_text(spark):
+    r = secrets.digest(secrets.scan(spark.createDataFrame([(1, "secret=aaaaaa token:bbbbbbb x\n" * 10_000)], "doc_id long, text string"))).head()
+    assert r.n_assign == 20_000 and r.spans.endswith(f"assign:{30 * 9_999 + 14}:{30 * 9_999 + 27}")
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------------------
 
 
+def letters_of(words):
+    return toxicity.LetterModel(toxicity.gram_counts(pa.array([" ".join(words), None, "", "the. And!"])))
+
+
+WORDS = "idiot stupid moron loser pathetic worthless trash clown the and with this that some good word ".split() * 50
+
+
+def gram(text):
+    n = 0
+    for c in text:
+        n = n * toxicity.CLASSES + (0 if c == toxicity.EDGE else toxicity.letter_class(c))
+    return n
+
+
 def test_disguised_words_are_restored():
-    words = "idiot stupid moron loser pathetic worthless trash clown the and with this that some good word ".split() * 50
-    grams = toxicity.gram_counts(pa.array([" ".join(words), None, "", "the. And!"])).to_pydict()
+    model = letters_of(WORDS)
     edge = toxicity.EDGE
-    assert dict(zip(grams["gram"], grams["n"], strict=True))[f"the{edge}"] == 51 and dict(zip(grams["gram"], grams["n"], strict=True))[edge * 3 + "a"] == 51
-    model = toxicity.LetterModel.of(dict(zip(grams["gram"], grams["n"], strict=True)))
+    assert model.counts[gram(f"the{edge}")] == 51 and model.counts[gram(edge * 3 + "a")] == 51 and model.counts.sum() == sum(len(w) + 1 for w in [*WORDS, "the", "and"])
     restore = toxicity.Restorer(model)
-    for text, word in {"1d10t": "idiot", "$tup1d!!": "stupid", "moooron": "moron", "L0SER": "loser", "p@thet1c": "pathetic", "w0rthle$s": "worthless", "c.l.o.w.n": "clown", "you i d i o t !": "idiot", "t r 4 s h": "trash"}.items():
+    odd = {"1d10t": "idiot", "$tup1d!!": "stupid", "moooron": "moron", "L0SER": "loser", "p@thet1c": "pathetic", "w0rthle$s": "worthless", "c.l.o.w.n": "clown", "you i d i o t !": "idiot", "t r 4 s h": "trash", "stu" + "u" * 60 + "pid": "stupid",
+           "g.o.o.d._._1.d.1.0.t": "idiot", "t h e m o r o n a n d t h e c l o w n " * 30 + "l o s e r": "loser"}
+    for text, word in odd.items():
         assert word in restore.words(text), text
-    texts = ["1d10t moron moron", None, "", "s c u m and t r 4 s h", "x idi0t!!"]
-    at = {"idiot": 0, "moron": 1, "trash": 2}
-    own = [{at[f] for f in toxicity.features(restore.words(t)) if f in at} for t in texts]
-    rows, found = toxicity.present(pa.array(texts), restore, at)
-    assert sorted(zip(rows.tolist(), found.tolist(), strict=True)) == sorted((i, f) for i, x in enumerate(own) for f in x) and len(rows) == 4
+    texts = ["1d10t moron moron", None, "", "s c u m and t r 4 s h", "x idi0t!!", "Moron, moronic"]
+    for names in (None, pa.array(["idiot", "moron", "moron-", "trash"], pa.large_string())):
+        rows, found, known = toxicity.present(pa.array(texts), restore, names)
+        known = known.to_pylist()
+        want = sorted((i, f) for i, t in enumerate(texts) for f in toxicity.features(restore.words(t)) if names is None or f in known)
+        assert sorted(zip(rows.tolist(), (known[j] for j in found.tolist()), strict=True)) == want
     assert restore.words("This, that.") == {"this", "that"} and restore.words(None) == restore.words("") == set()
 
 
+def price(reading, model):
+    total, past = 0.0, 0
+    for letters, cost in reading:
+        total += cost
+        for c in letters:
+            if c == " ":
+                if past:
+                    total += model.cost[past * toxicity.CLASSES] + (toxicity.LONE if past < toxicity.CLASSES else 0)
+                    past = 0
+                else:
+                    return math.inf
+            else:
+                total += model.cost[past * toxicity.CLASSES + toxicity.letter_class(c)]
+                past = (past * toxicity.CLASSES + toxicity.letter_class(c)) % toxicity.STATES
+    return total + (model.cost[past * toxicity.CLASSES] + (toxicity.LONE if past < toxicity.CLASSES else 0) if past else 0)
+
+
+def test_viterbi_is_the_cheapest_of_all_readings():
+    rng, model = random.Random(4), letters_of(WORDS)
+    for _ in range(150):
+        token = "".join(rng.choices("idiotstup01345!$.-aé", k=rng.randint(1, 6)))
+        places = toxicity.lattice(token, rng.random() < 0.5)
+        by = {}
+        for reading in itertools.product(*places):
+            text = "".join(x for x, _ in reading)
+            by[text] = min(by.get(text, math.inf), price(reading, model))
+        assert abs(by[toxicity.viterbi(places, model)] - min(by.values())) < 1e-9, token
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -225,19 +345,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
 
 
-def test_toxicity_without_labels(spark):
-    docs = spark.createDataFrame([(1, "a word"), (2, None), (2, None)], "doc_id long, text string")
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a word", 3.0), (2, None, 3.0), (2, None, 3.0), (None, "x" * 200_000 + " 1" * 50_000, None)], "doc_id long, text string, score double")
     model = toxicity.letter_model(docs)
     rows = docs.selectExpr("doc_id", "text", "cast(null as int) label")
     assert toxicity.fit(rows, model) is None
-    assert [r.score for r in toxicity.judge(docs, model, None, ["doc_id"]).collect()] == [0.0] * 3
+    assert [r.score for r in toxicity.judge(docs, model, None, docs.columns).collect()] == [0.0] * 4
+    assert toxicity.judge(docs.where("false"), toxicity.letter_model(docs.where("false")), None, ["doc_id"]).count() == 0
+    labelled = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "fine words", int(i % 3 == 0)) for i in range(90)] + [(None, None, 0)], "doc_id long, text string, label int")
+    classifier = toxicity.fit(labelled, model)
+    out = {(r.doc_id, r.text): r.score for r in toxicity.judge(labelled.union(labelled.where("doc_id < 3")), model, classifier, ["doc_id", "text"]).collect()}
+    assert out[0, "you idiot"] > 0.5 > out[1, "fine words"] and out[None, None] < 0.5 and len(set(out.values())) == 3
 
 
 # --- URLs ------------------------------------------------------------------------------------------------------------------------
 
-RULES = [*queries.URL_RULES, ("a.com/x", "block"), ("a.com/x/y/", "allow"), ("b.org/", "block"), ("c.b.org/q", "allow")]
+RULES = [*queries.URL_RULES, ("org/aaaaaaaaaaaa/", "allow"), ("a.com/x", "block"), ("a.com/x/y/", "allow"), ("b.org/", "block"), ("c.b.org/q", "allow")]
 URLS = [None, "", "no url", "http://com/", "http://com", "HTTP://WWW.Example.COM/en/p?q#f", "https://m.example.com/en", "http://example.com/en/1", "http://x.net/es/2", "http://notexample.com/en/",
-        "s://a.com/xyz", "s://a.com/x/y/z", "s://a.com/x/yz", "s://c.b.org/qq/1", "s://c.b.org/r", "s://b.org?x", "s://d.c.b.org/q#", "x://", "a://b://c/d"]
+        "s://a.com/xyz", "s://a.com/x/y/z", "s://a.com/x/yz", "s://c.b.org/qq/1", "s://c.b.org/r", "s://b.org?x", "s://d.c.b.org/q#", "x://", "a://b://c/d", "s://c.b.org/aaaaaaaaaaaa/q"]
 
 
 def brute_url(url):
@@ -247,7 +372,7 @@ def brute_url(url):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    fits = [(h.count("."), len(p), v == "block", f"{h}{p}", v) for (h, p), v in ((("" + r).partition("/")[::2], v) for r, v in RULES) for p in [f"/{p}"] if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+    fits = [(len(h) + len(p), h.count("."), v == "block", f"{h}{p}", v) for (h, p), v in ((("" + r).partition("/")[::2], v) for r, v in RULES) for p in [f"/{p}"] if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best and best[3], best[4] if best else "allow"
 
