@@ -355,7 +355,7 @@ def test_toxicity_of_odd_tables(spark):
     labelled = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "fine words", int(i % 3 == 0)) for i in range(90)] + [(None, None, 0)], "doc_id long, text string, label int")
     classifier = toxicity.fit(labelled, model)
     out = {(r.doc_id, r.text): r.score for r in toxicity.judge(labelled.union(labelled.where("doc_id < 3")), model, classifier, ["doc_id", "text"]).collect()}
-    assert out[0, "you idiot"] > 0.5 > out[1, "fine words"] and out[None, None] < 0.5 and len(set(out.values())) == 3
+    assert out[0, "you idiot"] > 0.5 > out[1, "fine words"] and out[None, None] < 0.5 and len(set(out.values())) == 2
 
 
 # --- URLs ------------------------------------------------------------------------------------------------------------------------
