@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import native
 from ..functions.scan import KnownNames
 from ..functions.surrogates import Placeholders, Realistic, luhn_digit
 from ..operators import audit, detect, documents, evaluate, mask, restore, spans
-from ..operators.tables import stored
+from ..operators.tables import shared_folder, stored
 from ..sources import corpus
 from ..sources import vault as vaults
 from ..streaming import restore as streams
@@ -82,7 +84,7 @@ def native_equals_scanner(spark, sf_dir):
     same = F.lit(True)
     for n in ("ssn", "iban", "card", "dob", "address"):
         same = same & (F.transform(F.col(n), lambda s: F.struct(s["start"], s["end"])) == F.transform(F.col(f"{n}_s"), lambda s: F.struct(s["start"], s["end"])))
-    return both.agg(F.count_if(~same).alias("n_different"))
+    return both.agg(F.count_if(~same).alias("n_different"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("ssn")).alias("n_ssn"), F.sum(F.size("iban")).alias("n_iban"), F.sum(F.size("address")).alias("n_address"))
 
 
 def known_names_documents(spark, sf_dir):
@@ -121,6 +123,48 @@ def realistic_surrogates(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(n, kind.alias("type"), Realistic().column(kind, F.lit(""), n).alias("surrogate"))
 
 
+def _keyed(spark, sf_dir, text, *detectors):
+    """(c_custkey, type, value) found in a text made of each customer's key."""
+    made = _table(spark, sf_dir, "customer").select("c_custkey", text.alias("t"))
+    return made.select("c_custkey", F.explode(detect.entities("t", detectors=detectors)).alias("e")).select("c_custkey", "e.type", "e.value")
+
+
+def ipv6_from_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    last = F.lower(F.hex(k))
+    text = F.when(k % 4 == 0, F.concat(F.lit("at ::1 or "), last, F.lit(":zz"))).when(k % 4 == 1, F.concat(F.lit("[2001:db8::"), last, F.lit("]:80"))).when(k % 4 == 2, F.concat(F.lit("2001:db8:"), last, F.lit("::192.0.2.7."))).otherwise(F.concat(F.lit("fe80::"), last, F.lit("%eth0 up")))
+    return _keyed(spark, sf_dir, text, "ip")
+
+
+def phone_international_from_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    eight = F.lpad(k.cast("string"), 8, "0")
+    text = F.when(k % 4 == 0, F.concat(F.lit("call +234 80"), eight)).when(k % 4 == 1, F.concat(F.lit("call +33 "), eight)).when(k % 4 == 2, F.concat(F.lit("call +44 (0) 20"), eight, F.lit(" now"))).otherwise(F.concat(F.lit("order +49 30"), eight))
+    return _keyed(spark, sf_dir, text, "phone")
+
+
+def secret_rules_from_keys(spark, sf_dir):
+    k, m = F.col("c_custkey"), F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    token = F.concat(m, F.upper(F.reverse(m)))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Authorization: Bearer "), token)).when(k % 4 == 1, F.concat(F.lit("key AKIA"), F.translate(F.upper(F.substring(m, 1, 16)), "01", "GH"), F.lit(" used"))).when(k % 4 == 2, F.concat(F.lit("the checksum is "), m)).otherwise(F.concat(F.lit("Set-Cookie: sid="), token, F.lit("; Path=/")))
+    return _keyed(spark, sf_dir, text, "secret")
+
+
+def address_from_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(" Old Mill Road, Apt 7"))).when(k % 3 == 1, F.concat(F.lit("at "), k.cast("string"), F.lit(" West 5th St NW"))).otherwise(F.concat(F.lit("Mill Road "), k.cast("string")))
+    return _keyed(spark, sf_dir, text, "address")
+
+
+def credential_url_forms(spark, sf_dir):
+    """Signed URLs, fragments, encoded names and harmless ones, made from the pages' urls."""
+    base = F.regexp_replace("url", "[?#].*$", "")
+    n = F.pmod("page_id", F.lit(6))
+    tail = F.when(n == 0, "?X-Amz-Signature=0a1b&Expires=9").when(n == 1, "#access_token=zz").when(n == 2, "?acc%65ss_token=zz").when(n == 3, "?sv=2020&sig=zz").when(n == 4, "?sig=zz").otherwise("?page=2#token")
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(base, tail).alias("url"))
+    return pages.select("page_id", (F.size(detect.entities("url", detectors=("url_credential",))) > 0).alias("flagged"))
+
+
 # --- spans, vault, mask, restore, audit -----------------------------------------------------------------------------------
 
 
@@ -140,8 +184,8 @@ def vault_mint(spark, sf_dir):
 
 
 def vault_uniqueness(spark, sf_dir):
-    _, vault = _masked(spark, sf_dir, ("email", "ip", "card"))
-    return vault.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("originals"), F.count_distinct("surrogate").alias("surrogates")).where("n <> originals or n <> surrogates").agg(F.count(F.lit(1)).alias("n_faulty"))
+    _, vault = _masked(spark, sf_dir, ("email", "ip"))
+    return vault.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("originals"), F.count_distinct("surrogate").alias("surrogates"))
 
 
 def mask_documents(spark, sf_dir):
@@ -156,12 +200,13 @@ def mask_documents_all(spark, sf_dir):
 def restore_exact_roundtrip(spark, sf_dir):
     masked, vault = _masked(spark, sf_dir)
     back = restore.restore_joined(masked, vault)
-    return back.agg(F.count_if(F.col("restored") != F.col("text")).alias("n_mismatches"), F.count_if(F.col("masked") != F.col("text")).alias("n_masked"))
+    return back.agg(F.count_if(F.col("restored") != F.col("text")).alias("n_mismatches"), F.count_if(F.col("masked") != F.col("text")).alias("n_masked"), F.sum(F.length("restored")).alias("n_chars"))
 
 
 def restore_tolerant_roundtrip(spark, sf_dir):
     masked, vault = _masked(spark, sf_dir)
-    return restore.restore(masked.withColumn("masked", F.lower("masked")), vault).agg(F.count_if(F.col("restored") != F.lower("text")).alias("n_mismatches"))
+    back = restore.restore(masked.withColumn("masked", F.upper("masked")), vault)
+    return back.agg(F.count_if(F.col("restored") != F.upper("text")).alias("n_mismatches"), F.count_if(F.col("masked") != F.col("restored")).alias("n_restored"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def _ip_vault(spark, sf_dir):
@@ -175,10 +220,10 @@ def audit_leaked_originals(spark, sf_dir):
 
 
 def audit_new_pii(spark, sf_dir):
-    """Nothing new is left in a masked table."""
-    masked, vault = _masked(spark, sf_dir)
-    found = audit.findings(masked, vault, "masked", detectors=("ip",)).select(F.explode("findings").alias("f"))
-    return found.agg(F.count_if(F.col("f.kind") == "new_pii").alias("n_new"), F.count_if(F.col("f.kind") == "leaked_original").alias("n_leaked"))
+    """Addresses that are new to a vault of those that end in an even digit."""
+    vault = _ip_vault(spark, sf_dir).where("original rlike '[02468]$'")
+    found = audit.findings(_docs(spark, sf_dir), vault, detectors=("ip",), leaks=False).select("doc_id", F.explode("findings").alias("f"))
+    return found.groupBy("doc_id", F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- URLs ---------------------------------------------------------------------------------------------------------------------
@@ -227,9 +272,16 @@ def restore_chunks(spark, sf_dir):
     n = F.floor(F.length("masked") / 24).cast("int")
     cut = masked.select(F.col("doc_id").cast("string").alias("stream_id"), F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), n)).alias("i"), "masked", n.alias("n"))
     chunks = cut.select("stream_id", "block", F.col("i").cast("long").alias("seq"), F.substring("masked", F.col("i") * 24 + 1, F.lit(24)).alias("chunk"), (F.col("i") == F.col("n")).alias("final"))
-    back = streams.restore_chunks(chunks, vault).groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
-    return docs.join(back, "stream_id", "left").agg(F.count_if(~F.col("restored").eqNullSafe(F.col("text"))).alias("n_mismatches"))
+    # By the streaming query itself: the chunks are a file source, read until it has no more.
+    source = stored(chunks)
+    folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
+    running = streams.restore_stream(spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rpartition("/")[0]), vault)
+    # One mapping's state a stream; few partitions, as the store has a file or more for each.
+    query = running.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(running.schema).parquet(folder + "/out")
+    back = out.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+    return back.select(F.col("stream_id").cast("long").alias("doc_id"), F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
 
 
 def evaluation_scores(spark, sf_dir):
@@ -248,6 +300,7 @@ def evaluation_false_alarms(spark, sf_dir):
 QUERIES = (
     detect_ipv4_documents, detect_card_documents, detect_email_ascii_documents, detect_phone_nanp_documents, detect_secret_documents, entity_counts_by_lang,
     entity_counts_by_type, native_equals_scanner, known_names_documents, luhn_from_keys, ssn_validity_from_keys, iban_check_from_keys, dob_context_from_keys,
+    ipv6_from_keys, phone_international_from_keys, secret_rules_from_keys, address_from_keys, credential_url_forms,
     realistic_surrogates, span_overlap_resolution, vault_mint, vault_uniqueness, mask_documents, mask_documents_all, restore_exact_roundtrip,
     restore_tolerant_roundtrip, audit_leaked_originals, audit_new_pii, url_query_params, credential_url_flags, mask_conversations, mask_chat_messages,
     mask_event_props, restore_chunks, evaluation_scores, evaluation_false_alarms,
@@ -315,7 +368,7 @@ SQL = {
           SELECT lang, 'IPV4' AS type FROM hosts JOIN documents USING (doc_id)
           UNION ALL SELECT lang, 'EMAIL' FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~.-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}')) FROM documents))
         SELECT coalesce(lang, 'TOTAL') AS lang, coalesce(type, 'TOTAL') AS type, count(*) AS n FROM each GROUP BY ROLLUP (lang, type)""",
-    "native_equals_scanner": "SELECT CAST(0 AS BIGINT) AS n_different",
+    "native_equals_scanner": "SELECT CAST(0 AS BIGINT) AS n_different, count(*) AS n_rows, count(text) AS n_ssn, count(text) AS n_iban, count(text) AS n_address FROM documents",
     "known_names_documents": r"""
         WITH found AS (
           SELECT doc_id, 'PERSON' AS type, unnest(regexp_extract_all(lower(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g')), '(?:^|[^\p{L}\p{N}_])idiot(?:$|[^\p{L}\p{N}_])')) AS m FROM documents
@@ -348,19 +401,36 @@ SQL = {
     "span_overlap_resolution": """
         SELECT * FROM (VALUES (1, 'SECRET', 5, 30), (1, 'PHONE', 35, 50), (2, 'IBAN', 3, 9)) AS t(id, type, start, "end")""",
     "vault_mint": f"WITH {MINTED} SELECT k - 1 AS ord, 'IPV4' AS type, value AS original, '⟨IPV4_' || k || '⟩' AS surrogate FROM minted",
-    "vault_uniqueness": "SELECT CAST(0 AS BIGINT) AS n_faulty",
-    "restore_exact_roundtrip": f"WITH {IPS} SELECT CAST(0 AS BIGINT) AS n_mismatches, count(DISTINCT doc_id) AS n_masked FROM hosts",
-    "restore_tolerant_roundtrip": "SELECT CAST(0 AS BIGINT) AS n_mismatches",
+    "vault_uniqueness": f"""
+        WITH {IPS}, each AS (
+          SELECT 'IPV4' AS type, value FROM hosts
+          UNION ALL SELECT 'EMAIL', unnest(regexp_extract_all(text, '[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~.-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}')) FROM documents)
+        SELECT type, count(DISTINCT value) AS n, count(DISTINCT value) AS originals, count(DISTINCT value) AS surrogates FROM each GROUP BY type""",
+    "restore_exact_roundtrip": f"WITH {IPS} SELECT CAST(0 AS BIGINT) AS n_mismatches, count(DISTINCT doc_id) AS n_masked, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS n_chars FROM hosts",
+    "restore_tolerant_roundtrip": f"WITH {IPS} SELECT CAST(0 AS BIGINT) AS n_mismatches, count(DISTINCT doc_id) AS n_restored, (SELECT count(*) FROM documents) AS n_rows FROM hosts",
     "audit_leaked_originals": r"""
         WITH vault AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b')) AS value FROM documents)
         SELECT doc_id, value, CAST(strpos(text, value) - 1 AS BIGINT) AS first FROM documents JOIN vault ON contains(text, value)""",
-    "audit_new_pii": "SELECT CAST(0 AS BIGINT) AS n_new, CAST(0 AS BIGINT) AS n_leaked",
+    "audit_new_pii": rf"""
+        WITH {IPS} SELECT doc_id, value, count(*) AS n FROM hosts
+        WHERE NOT regexp_matches(value, '[02468]$') GROUP BY ALL""",
     "url_query_params": r"""
         WITH p AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')) AS p FROM pages)
         SELECT page_id, split_part(p, '=', 1) AS name, CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END AS value FROM p WHERE p <> ''""",
     "credential_url_flags": "SELECT page_id, page_id % 5 IN (0, 1) AS flagged FROM pages",
     "mask_event_props": "SELECT count(*) AS n_masked, CAST(0 AS BIGINT) AS n_mismatches FROM events",
-    "restore_chunks": "SELECT CAST(0 AS BIGINT) AS n_mismatches",
+    "restore_chunks": "SELECT doc_id, md5(text) AS restored_md5 FROM documents WHERE text IS NOT NULL",
+    "ipv6_from_keys": """
+        SELECT c_custkey, 'IPV6' AS type, CASE c_custkey % 4 WHEN 1 THEN '2001:db8::' || format('{:x}', c_custkey) WHEN 2 THEN '2001:db8:' || format('{:x}', c_custkey) || '::192.0.2.7' ELSE 'fe80::' || format('{:x}', c_custkey) || '%eth0' END AS value
+        FROM customer WHERE c_custkey % 4 <> 0""",
+    "phone_international_from_keys": """
+        SELECT c_custkey, 'PHONE' AS type, CASE c_custkey % 4 WHEN 0 THEN '+234 80' ELSE '+44 (0) 20' END || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS value FROM customer WHERE c_custkey % 4 IN (0, 2)""",
+    "secret_rules_from_keys": """
+        SELECT c_custkey, 'SECRET' AS type, CASE c_custkey % 4 WHEN 1 THEN 'AKIA' || translate(upper(left(m, 16)), '01', 'GH') WHEN 3 THEN 'sid=' || m || upper(reverse(m)) || '; Path=/' ELSE m || upper(reverse(m)) END AS value
+        FROM (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS m FROM customer) WHERE c_custkey % 4 <> 2""",
+    "address_from_keys": """
+        SELECT c_custkey, 'ADDRESS' AS type, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' Old Mill Road, Apt 7' ELSE c_custkey || ' West 5th St NW' END AS value FROM customer WHERE c_custkey % 3 <> 2""",
+    "credential_url_forms": "SELECT page_id, page_id % 6 < 4 AS flagged FROM pages",
 }
 #: The same replacement, one address after the other, longest first, is what rewriting gives when no address holds another.
 SQL["mask_documents"] = f"""
@@ -376,5 +446,13 @@ SQL["mask_conversations"] = """
     SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, text || ' from ⟨IPV4_1⟩' AS masked FROM conversations"""
 
 
+SQL["entity_counts_by_type"] = f"""
+    WITH {IPS}, cards AS ({SQL["detect_card_documents"]}), mails AS ({SQL["detect_email_ascii_documents"]}), phones AS ({SQL["detect_phone_nanp_documents"]}), secrets AS ({SQL["detect_secret_documents"]}),
+    each AS (
+      SELECT 'IPV4' AS type, value, 1 AS n FROM hosts UNION ALL SELECT 'CARD', value, n FROM cards UNION ALL SELECT 'EMAIL', value, n FROM mails
+      UNION ALL SELECT 'PHONE', value, n FROM phones UNION ALL SELECT 'SECRET', value, n FROM secrets)
+    SELECT type, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT value) AS n_values FROM each GROUP BY type"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
