@@ -29,7 +29,8 @@ def test_topk_matches_brute_force(spark):
     rows += [(400 + i, [0.5] * 5) for i in range(60)]  # ties
     rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0]), (902, [float("nan")] * 5), (1000, [1.0, 2.0]), (1001, [3.0, 1.0]), (100, rows[100][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, df.where("vec_id % 100 = 0"), shard_rows=64, query_block=3).collect()
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), shard_rows=32, query_block=3, near_cells=2).collect()
+    sampled = topk.top_k(df, df.where("vec_id % 100 = 0"), shard_rows=32, query_block=3, near_cells=1, fit_values=200).collect()
     whole = {}
     for i, v in rows:
         if v is not None and all(x is not None and np.isfinite(x) for x in v):
@@ -40,6 +41,32 @@ def test_topk_matches_brute_force(spark):
             scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
             want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, sampled)) == sorted(want)
+
+
+def test_topk_of_large_components(spark):
+    rows = [(i, [2.0**21 + i % 7, 2.0**20 * (i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 100"), shard_rows=32).collect()
+    whole = {i: [int(1024 * x) for x in v] for i, v in rows}
+    scored = sorted((-sum(a * b for a, b in zip(whole[100], v, strict=True)), i) for i, v in whole.items() if i != 100)[:10]
+    assert sorted(map(tuple, got)) == [(100, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+
+
+def test_cells_without_hope_are_not_visited(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8)) * 50
+    vectors = np.array([centres[i % 20] + rng.normal(size=8) for i in range(4000)]).round().astype("int64")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, v array<bigint>")
+    router = topk.fit_router(df, 200, 8000)
+    cell, gap = router.place(list(vectors))
+    radii = np.full(cell.max() + 1, -1.0)
+    np.maximum.at(radii, cell, gap)
+    scores = vectors @ vectors[0]
+    kth = np.sort(scores)[-10]
+    cells, bounds, _ = router.reach(vectors[0].astype("float64"), radii)
+    assert set(cell[scores >= kth]) <= set(cells[bounds >= kth])
+    assert (bounds >= kth).sum() < len(cells) / 2
 
 
 def test_topk_of_nothing(spark):
