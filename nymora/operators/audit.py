@@ -12,6 +12,7 @@ from ..functions import fixed
 from ..functions.hits import Cover
 from ..functions.scan import scan
 from .detect import checked, entities
+from .windows import nominated
 
 FINDING = "struct<kind:string,type:string,value:string,start:int,end:int,detector:string,confidence:double>"
 ARROW = pa.list_(pa.struct([("kind", pa.string()), ("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("detector", pa.string()), ("confidence", pa.float64())]))
@@ -142,32 +143,13 @@ TIERS = (4, 7, 12, PREFIX)
 def leaked_joined(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, type, value, start, end) of known originals in texts, for one vault of any size; ``key`` tells the rows apart.
 
-    Windows of the texts are joined with the originals' prefixes by equality; only rows with a nominated value meet their text
+    Windows of the texts that pass a bit map of the originals' prefixes are joined with these by equality; only rows with a nominated value meet their text
     again, where whole values are compared. Overlapping occurrences of a value are all given.
     """
     tier = F.least(F.length("original"), F.array_max(F.filter(F.array(*map(F.lit, (0, 1, 2, 3, *TIERS))), lambda n: n <= F.length("original"))))
     values = vault.where(F.length("original") > 0).select("type", "original", tier.alias("_n")).withColumn("_p", F.expr("substring(original, 1, _n)"))
-    windows = None
-    for n in sorted(r[0] for r in values.select("_n").distinct().collect()):
-        blocks = df.where(F.length(text) >= n).select(key, F.posexplode(_blocks(F.col(text), n)).alias("_b", "_t")).where(F.length("_t") >= n)
-        found = blocks.select(key, "_b", F.posexplode(_windows(F.col("_t"), n)).alias("_i", "_p")).select(key, (F.col("_b") * BLOCK + F.col("_i")).alias("_at"), "_p")
-        windows = found if windows is None else windows.unionByName(found)
-    if windows is None:
-        return df.select(key, *(F.lit(None).cast(t).alias(c) for c, t in (("type", "string"), ("value", "string"), ("start", "int"), ("end", "int")))).where("false")
+    windows = nominated(df, text, [key], values, "_p").select(key, F.col("at").alias("_at"), F.col("piece").alias("_p"))
     hit = windows.join(values, "_p").select(key, "type", "original", F.col("_at").alias("start"))
     whole = hit.join(df.select(key, F.col(text).alias("_t")), key).where(F.substring("_t", F.col("start") + 1, F.length("original")) == F.col("original"))
     return whole.select(key, "type", F.col("original").alias("value"), "start", (F.col("start") + F.length("original")).alias("end"))
 
-
-#: Texts are cut into blocks before they are cut into windows, as a substring is found by counting characters from the start.
-BLOCK = 256
-
-
-def _blocks(text, n: int):
-    """Parts of BLOCK characters, each with the n - 1 that follow."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / BLOCK).cast("int")), lambda b: F.substring(text, b * BLOCK + 1, F.lit(BLOCK + n - 1)))
-
-
-def _windows(text, n: int):
-    """All substrings of ``n`` characters, in order."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))

@@ -22,6 +22,7 @@ from . import restore as restoring
 from .detect import entities
 from .spans import rewrite
 from .tables import numbered, stored
+from .windows import nominated
 
 ATTEMPTS = 1024
 
@@ -78,20 +79,18 @@ def mint(values: DataFrame, vault: DataFrame, sources: DataFrame, generator) ->
 
 def _tried(based: DataFrame, vault: DataFrame, sources: DataFrame, generator) -> DataFrame:
     """Numbers for surrogates without delimiters: candidates are made with spare numbers, those that a source or the vault holds
-    go, and the k-th of the rest is the k-th value's. A source is tested by its own characters' windows of each candidate's
-    length, joined by equality."""
+    go, and the k-th of the rest is the k-th value's. A source is tested by those of its windows that pass a bit map of
+    the candidates, joined by equality."""
     wanted = based.groupBy("_vault", "type").agg(F.max("k").alias("most"), F.first("base").alias("base"))
     spare = F.least(F.lit(ATTEMPTS), F.lit(64) + F.col("most"))
     tried = wanted.select("_vault", "type", F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("most") + spare)).alias("n"))
     named = stored(tried.withColumn("surrogate", generator.column(F.col("type"), F.lit(""), F.col("n"))).withColumn("folded", spelling("surrogate")))
     taken = vault.select(F.col("vault_id").alias("_vault"), "surrogate")
     free = named.join(taken, ["_vault", "surrogate"], "left_anti")
-    sizes = [r[0] for r in free.select(F.length("folded").alias("l")).distinct().collect() if r[0]]
     texts = sources.select("_vault", "_text").unionByName(vault.select(F.col("vault_id").alias("_vault"), F.col("original").alias("_text")))
     folded = texts.select("_vault", spelling("_text").alias("t"))
-    for size in sizes:
-        windows = folded.where(F.length("t") >= size).select("_vault", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring("t", i, size))).alias("folded"))
-        free = free.join(windows.distinct(), ["_vault", "folded"], "left_anti")
+    held = nominated(folded, "t", ["_vault"], free.select("folded"), "folded").select("_vault", F.col("piece").alias("folded"))
+    free = free.join(held.distinct(), ["_vault", "folded"], "left_anti")
     ranked = numbered(free.dropDuplicates(["_vault", "surrogate"]), ["_vault", "type"], ["n"], "k")
     out = based.join(ranked.select("_vault", "type", "k", "surrogate"), ["_vault", "type", "k"], "left")
     if out.where("surrogate is null").limit(1).count():
