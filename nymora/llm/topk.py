@@ -261,7 +261,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     found = written(searched(asked.withColumn("least", F.lit(float("-inf"))), 0), "near")
-    for wave in (1, 2):
+    for wave, left in ((1, sum(salts.values()) > 1), (2, len(salts) > near_cells)):
+        if not left:  # no pair is of this wave
+            continue
         kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("least"))
         going = asked.join(kth, "query_id", "left").select("query_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         found = written(best(found.union(searched(going, wave))).drop("rank"), "near")
