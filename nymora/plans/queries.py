@@ -13,13 +13,13 @@ from ..functions.scan import KnownNames
 from ..functions.surrogates import Placeholders, Realistic, luhn_digit
 from ..operators import audit, detect, documents, evaluate, mask, restore, spans
 from ..operators.tables import shared_folder, stored
-from ..sources import corpus
+from ..sources import corpus, tables
 from ..sources import vault as vaults
 from ..streaming import restore as streams
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
