@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_dirs: dict[str, str] = {}
 
@@ -38,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, dealt over the cores if it comes in fewer partitions than there are cores (the operators in Python are bound by cores)."""
+    return read(spark, f"{sf_dir}/documents.parquet")
+
+
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5))

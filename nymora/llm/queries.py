@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, line_dedup, packing, secrets, simhash, token_file, topk, toxicity, url_filter
-from .common import fold, table
+from .common import fold, table, texts
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return decontaminate.judge(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     model = langid.fit(docs.where(fold() != 0).select("doc_id", "text", "lang"))
     out = langid.identify(docs, model, ["doc_id"])
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
@@ -37,7 +37,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(texts(spark, sf_dir))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.letter_model(docs)
     classifier = toxicity.fit(toxicity.labelled(docs.where(fold() != 0), labels), model)
@@ -54,7 +54,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_file.round_trip(texts(spark, sf_dir).select("doc_id", "text"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
