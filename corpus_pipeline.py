@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nymora.llm import decontaminate, langid, line_dedup, packing, simhash
-from nymora.llm.common import fold, table, written
+from nymora.llm.common import fold, table, texts, written
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
