@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import numbered
+from .common import written
 
 WORD_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789") | frozenset(range(0x80, 0x100))
 TABLE = bytes(b if (b := x + 32 if 65 <= x <= 90 else x) in WORD_BYTES else 32 for x in range(256))
@@ -123,7 +124,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, text: str = "text", doc_id: str =
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, seed: int = 2024, least_words: int = 20, most: int = 1, buckets: int = 10_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_features, weight, score and rank (null if not drawn) of every document; ``percent`` of those with ``least_words`` words are drawn."""
-    own = weighed(docs, gains(docs, target, text, most, buckets), text, doc_id, most)
+    own = written(weighed(docs, gains(docs, target, text, most, buckets), text, doc_id, most), "weights")  # the range sort reads it twice
     head = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((head + 0.5) / 4294967296.0)))
     scored = own.withColumn("score", (F.col("weight") + noise).cast("long")).withColumn("_out", F.when(F.col("n_words") >= least_words, 0).otherwise(1))
