@@ -15,6 +15,19 @@ class Hit(NamedTuple):
     confidence: float
 
 
+def disjoint(hits: Iterable[Hit]) -> list[Hit]:
+    """Greedy choice of disjoint hits: higher confidence, then longer, then earlier, then the order given; back in text order."""
+    starts: list[int] = []
+    kept: list[Hit] = []
+    for h in sorted(hits, key=lambda h: (-h.confidence, h.start - h.end, h.start)):
+        i = bisect_left(starts, h.start)
+        if i and kept[i - 1].end > h.start or i < len(kept) and kept[i].start < h.end:
+            continue
+        starts.insert(i, h.start)
+        kept.insert(i, h)
+    return kept
+
+
 class Cover:
     """Spans to ask about: does a given span touch one, or lie inside one?"""
 

@@ -11,7 +11,7 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 NOWHERE = re.compile(r"(?!)")
@@ -59,12 +59,12 @@ class Lookup:
         """pairs: (surrogate, original)."""
         pairs = dict(pairs)
         self.exact = _Table({s: o for s, o in pairs.items() if s})
-        spelled: dict[str, set[str]] = defaultdict(set)
+        loose: dict[str, set[str]] = defaultdict(set)
         for surrogate, original in pairs.items():
-            if key := " ".join(filter(None, surrogate.split(" "))).casefold():
-                spelled[key].add(original)
+            if key := spelled(surrogate):
+                loose[key].add(original)
         # Of several originals under one folded spelling none can be chosen.
-        self.loose = _Table({key: originals.pop() for key, originals in spelled.items() if len(originals) == 1})
+        self.loose = _Table({key: originals.pop() for key, originals in loose.items() if len(originals) == 1})
         self.starts = _any_of(self.exact.sizes)
         self.all_starts = _any_of([*self.exact.sizes, *(c for first in self.loose.sizes for c in first + _sources().get(first, ""))])
         self.spaced = any(" " in key for key in self.loose.value)
@@ -84,7 +84,7 @@ class Lookup:
         starts = self.all_starts if tolerant else self.starts
         if not starts.search(text):
             return text
-        folded = _Folded(text, self.spaced) if tolerant else None
+        folded = Folded(text, self.spaced) if tolerant else None
         out, done, at = [], 0, 0
         while m := starts.search(text, at):
             at = m.start()
@@ -97,7 +97,7 @@ class Lookup:
         return "".join([*out, text[done:]])
 
 
-class _Folded:
+class Folded:
     """A text case-folded, its white space as single spaces if ``spaced``; ``place`` maps its characters to those of the text."""
 
     def __init__(self, text: str, spaced: bool):
@@ -124,6 +124,11 @@ class _Folded:
         self.place.append(len(text))
         self.low = "".join(parts)
 
+    def edges(self, start: int, end: int) -> tuple[int, int] | None:
+        """The places in the text of a span of the folded text, if both are between whole characters and not inside of a word."""
+        a, b = self.place[start], self.place[end]
+        return (a, b) if a >= 0 and b >= 0 and not inside_word(self.text, a) and not inside_word(self.text, b) else None
+
     def find(self, table: _Table, at: int) -> tuple[int, str] | None:
         """(end in the text, value) of the longest key that starts at ``at``, between whole characters and not inside of a word."""
         if self.of[at] < 0 or inside_word(self.text, at):
@@ -232,13 +237,13 @@ class JSONStream:
 
     def _release(self, final: bool) -> str:
         # A unit that stands for several characters (an invalid escape) is part of no surrogate.
-        text = "".join(u[0] if len(u[0]) == 1 else "\udfff" for u in self.units)
+        text = "".join(u[0] if len(u[0]) == 1 else ODD for u in self.units)
         out, done = [], 0
         while done < len(text):
             if not final and self.lookup.may_go_on(text, done):
                 break
             hit = self.lookup.longest(text, done)
-            out.append(json.dumps(hit[1], ensure_ascii=False)[1:-1] if hit else self.units[done][1])
+            out.append(escaped(hit[1]) if hit else self.units[done][1])
             done = hit[0] if hit else done + 1
         del self.units[:done]
         return "".join(out)
@@ -290,5 +295,46 @@ class JSONStream:
         return new
 
 
+#: Stands for a unit of several characters (an invalid escape), which is part of no surrogate.
+ODD = "\udfff"
+
+
+def json_values(text: str) -> Iterator[tuple[str, list[int]]]:
+    """(decoded, places) of the string values of serialized JSON, complete or not; ``places`` are where its characters begin in ``text``, and
+    where the last ends. Keys, numbers and structure are passed over as JSONStream does."""
+    at, open_, key_next = 0, [], False
+    while at < len(text):
+        c = text[at]
+        at += 1
+        if c == '"':
+            decoded, places = [], [at]
+            while at < len(text) and text[at] != '"':
+                unit, at = _unit(text, at, True)
+                decoded.append(unit if len(unit) == 1 else ODD)
+                places.append(at)
+            at += 1
+            if not key_next:
+                yield "".join(decoded), places
+        elif c in "{[":
+            open_.append(c == "{")
+            key_next = c == "{"
+        elif c in "}]":
+            if open_:
+                open_.pop()
+            key_next = False
+        elif c in ":,":
+            key_next = c == "," and bool(open_) and open_[-1]
+
+
+def escaped(value: str) -> str:
+    """As it stands between the quotes of a JSON string."""
+    return json.dumps(value, ensure_ascii=False)[1:-1]
+
+
+def spelled(surrogate: str) -> str:
+    """What tolerant matching looks for: case folded, spaces single."""
+    return " ".join(filter(None, surrogate.split(" "))).casefold()
+
+
 def restore_json(text: str, lookup: Lookup) -> str:
     return JSONStream(lookup).feed(text, final=True)

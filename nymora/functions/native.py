@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+SEEN = "array<struct<start:int,end:int,value:string,before:string>>"
+
+
+#: Matches are walked in blocks of this size: an array that grows by one element at a time is copied each time.
+BLOCK = 128
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the matches of a pattern that never matches empty.
+def match_spans(text: Column, pattern: str, before: bool = False) -> Column:
+    """array<struct<start, end, value>> of the matches of a pattern that never matches empty; with ``before``, also up to 32 characters
+    before a match, counted from three matches earlier on at least.
 
-    The text between matches and the matches themselves are folded into running offsets; ``regexp_instr`` would count UTF-16 units.
+    Offsets are running sums over the texts between matches and the matches, first of whole blocks, then within each: linear for any number of
+    matches that a text can hold. ``regexp_instr`` would count UTF-16 units, and a substring counts from the text's begin each time.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    walked = F.aggregate(
-        pairs,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["g"])).cast("int").alias("start"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).cast("int").alias("end"), p["m"].alias("value")))).alias("out"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(F.array().cast(SPAN))
+    size = lambda p: p["a"] + p["b"]
+    none, empty = F.array().cast("array<int>"), F.array().cast(SPAN)
+    pair = lambda g, m: F.struct(g.alias("g"), m.alias("m"), F.length(g).alias("a"), F.length(m).alias("b"))
+    one = lambda at, p: F.struct((at + p["a"]).cast("int").alias("start"), (at + size(p)).cast("int").alias("end"), p["m"].alias("value"))
+
+    def begins(totals: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(totals, start, lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def walked(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), empty.alias("out"))
+        return F.aggregate(block, start, lambda acc, p: F.struct((acc["at"] + size(p)).alias("at"), F.concat(acc["out"], F.array(one(acc["at"], p))).alias("out")))["out"]
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, p: acc + size(p)))
+        return F.flatten(F.zip_with(blocks, begins(totals), walked))
+
+    def spans(pairs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        out = let(F.transform(places, lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))), placed)
+        if not before:
+            return out
+        last = lambda ends, i, k: F.when(i >= k, F.get(ends, i - k)).otherwise("")
+        tail = lambda ends: F.transform(pairs, lambda p, i: F.right(F.concat(last(ends, i, 3), last(ends, i, 2), last(ends, i, 1), F.right(p["g"], F.lit(32))), F.lit(32)))
+        heads = let(F.transform(pairs, lambda p: F.right(F.concat(p["g"], p["m"]), F.lit(32))), tail)
+        return F.zip_with(out, heads, lambda s, h: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), h.alias("before")))
+
+    paired = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, pair))
+    return F.when(text.rlike(pattern), let(paired, spans)).otherwise(F.array().cast(SEEN if before else SPAN))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; named in a lambda as it stands, it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def plain(spans: Column) -> Column:
+    """Without what stands before."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def digits_of(value: Column) -> Column:
@@ -77,21 +113,21 @@ def ipv4_ok(value: Column) -> Column:
 
 
 def ipv4_spans(text: Column) -> Column:
-    found = match_spans(text, r"(?U)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)(?!\.\d)")
+    found = match_spans(text, r"(?U)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)(?!\.\d)", before=True)
     label = rf"(?i)(?U){fixed.VERSION_LABEL[:-1]}\z"
-    return F.filter(found, lambda s: ipv4_ok(s["value"]) & ~F.substring(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16))).rlike(label))
+    return plain(F.filter(found, lambda s: ipv4_ok(s["value"]) & ~F.right(s["before"], F.lit(16)).rlike(label)))
 
 
 def ssn_spans(text: Column) -> Column:
-    found = match_spans(text, r"(?U)(?<!\d)\d{3}([- ]?)\d{2}([- ]?)\d{4}(?!\d)")
+    found = match_spans(text, r"(?U)(?<!\d)\d{3}([- ]?)\d{2}([- ]?)\d{4}(?!\d)", before=True)
     parts = r"^(\d{3})([- ]?)(\d{2})([- ]?)(\d{4})\z"
 
     def kept(s: Column) -> Column:
         g = [F.regexp_extract(s["value"], parts, i) for i in range(1, 6)]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 24, F.lit(1)), F.least(s["start"], F.lit(25))))
+        before = F.lower(F.right(s["before"], F.lit(25)))
         return (g[1] == g[3]) & ssn_ok(g[0], g[2], g[4]) & ((g[1] != "") | before.contains("ssn") | before.contains("social security"))
 
-    return F.filter(found, kept)
+    return plain(F.filter(found, kept))
 
 
 def iban_spans(text: Column) -> Column:
@@ -100,7 +136,7 @@ def iban_spans(text: Column) -> Column:
 
 def card_spans(text: Column) -> Column:
     pattern = fixed.CARD.replace("(?P<", "(?<").replace("(?P=sep)", r"\k<sep>").replace("(?P=sep2)", r"\k<sep2>")
-    return F.filter(match_spans(text, "(?U)" + pattern), lambda s: card_ok(s["value"]) & ~F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))).rlike("(?i)" + fixed.CARD_OTHER_LABEL))
+    return plain(F.filter(match_spans(text, "(?U)" + pattern, before=True), lambda s: card_ok(s["value"]) & ~s["before"].rlike("(?i)" + fixed.CARD_OTHER_LABEL)))
 
 
 def dob_spans(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions import fixed
 from ..functions.hits import Cover
 from ..functions.scan import scan
 from .detect import checked, entities
+from .restore import key_of
 from .windows import nominated
 
 FINDING = "struct<kind:string,type:string,value:string,start:int,end:int,detector:string,confidence:double>"
@@ -80,7 +81,7 @@ def findings(df: DataFrame, vault: DataFrame, text: str = "text", vault_id: str
     Vaults of at most ``broadcast_rows`` mappings in all (counted) are broadcast; otherwise each row is joined with its own vault's.
     """
     detectors = checked(fixed.DEFAULT_DETECTORS if detectors is None else detectors)
-    key = F.col(vault_id).cast("string") if vault_id else F.lit("")
+    key = key_of(vault_id)
     rows = vault.select("vault_id", "ord", "type", "original", "surrogate")
 
     def judged(t: str | None, known: Known) -> list[dict]:
@@ -118,12 +119,9 @@ def findings(df: DataFrame, vault: DataFrame, text: str = "text", vault_id: str
 
 
 def findings_joined(df: DataFrame, vault: DataFrame, key: str, text: str = "text", detectors: Iterable[str] | None = None) -> DataFrame:
-    """(key, kind, type, value, start, end) for one vault of any size, by joins alone; ``key`` tells the rows apart.
-
-    As ``findings``, but that overlapping occurrences of the same original are all given.
-    """
+    """(key, kind, type, value, start, end) for one vault of any size, by joins alone, as ``findings`` has them; ``key`` tells the rows apart."""
     leaks = leaked_joined(df, vault, key, text)
-    out = leaks.select(key, F.lit("leaked_original").alias("kind"), "type", "value", "start", "end")
+    out = apart(leaks, key).select(key, F.lit("leaked_original").alias("kind"), "type", "value", "start", "end")
     detectors = checked(fixed.DEFAULT_DETECTORS if detectors is None else detectors)
     if not detectors:
         return out
@@ -136,6 +134,24 @@ def findings_joined(df: DataFrame, vault: DataFrame, key: str, text: str = "text
     return out.unionByName(new.select(key, F.lit("new_pii").alias("kind"), "type", "value", "start", "end"))
 
 
+def _apart(starts: pa.Array, size: pa.Array) -> pa.Array:
+    out = []
+    for own, n in zip(starts.to_pylist(), size.to_pylist(), strict=True):
+        kept: list[int] = []
+        for s in own:
+            if not kept or s >= kept[-1] + n:
+                kept.append(s)
+        out.append(kept)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def apart(found: DataFrame, key: str) -> DataFrame:
+    """(key, type, value, start, end): of overlapping occurrences of a value in a row the leftmost, then the next that doesn't overlap it, and so on."""
+    runs = found.groupBy(key, "type", "value").agg(F.sort_array(F.collect_list("start")).alias("_s"))
+    kept = runs.withColumn("start", F.explode(F.arrow_udf(_apart, "array<int>")("_s", F.length("value"))))
+    return kept.select(key, "type", "value", "start", (F.col("start") + F.length("value")).alias("end"))
+
+
 #: Lengths of the prefixes by which long vaults are joined; a value goes by the longest that it reaches, or by its own length.
 TIERS = (4, 7, 12, PREFIX)
 

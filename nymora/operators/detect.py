@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scan import DETECTORS, scan
+from ..functions.secrets import KEY_FORMATS
 from .spans import ENTITIES
 
 ARROW = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("detector", pa.string()), ("confidence", pa.float64())]))
-#: Every default detector needs one of these; the text of a row without any isn't sent to Python.
-SIGNAL = r"(?U)[@:+]|\d\D{0,2}\d|(?i:key|pass|secret|token|cookie|authorization)|[A-Za-z0-9+/_=.-]{20}"
+#: Every default detector needs one of these; the text of a row without any isn't sent to Python. Key formats come with their marks, and a compact JWT has
+#: two dots among its characters, however short its parts.
+SIGNAL = r"(?U)[@:+]|\d\D{0,2}\d|(?i:key|pass|secret|token|cookie|authorization)|[A-Za-z0-9+/_=.-]{20}|ey[A-Za-z0-9_=-]*\.[A-Za-z0-9_=-]+\.|" + "|".join(re.escape(mark) for _, marks, _ in KEY_FORMATS for mark in marks)
 ADDRESS_SIGNAL = r"|(?U)\d[A-Za-z]?\s"
 
 

@@ -49,8 +49,8 @@ def _rebuild(texts: pa.Array, values: pa.Array) -> pa.Array:
 
 def mask_documents(df: DataFrame, vault: DataFrame, text: str = "text", ord: str = "ord", vault_id: str | None = None, style: str = "values", detectors: Iterable[str] = fixed.DEFAULT_DETECTORS, **options) -> tuple[DataFrame, DataFrame]:
     """(``df`` with masked, the grown vault). A document that can't be read, or with personal data in a key, raises VaultError."""
-    key = F.col(vault_id).cast("string") if vault_id else F.lit("")
-    read = stored(df.withColumn("_v", key).withColumn("_o", F.col(ord)).withColumn("_p", document_parts(style)(F.col(text))))
+    key = restoring.key_of(vault_id)
+    read = stored(df.withColumn("_v", key).withColumn("_o", F.struct(F.col(ord).alias("ord"), F.monotonically_increasing_id().alias("row"))).withColumn("_p", document_parts(style)(F.col(text))))
     errors = [r[0] for r in read.where("_p.error is not null").select("_p.error").distinct().limit(5).collect()]
     if errors:
         raise VaultError("; ".join(sorted(errors)))
@@ -59,14 +59,14 @@ def mask_documents(df: DataFrame, vault: DataFrame, text: str = "text", ord: str
         raise VaultError("a JSON key holds personal data; use another field name")
     rows = each.where("not p.is_key").select("_v", F.struct(F.col("_o").alias("o"), F.col("p.token").alias("token"), F.col("p.inner").alias("inner")).alias("_at"), F.col("p.text").alias("_t"), F.col("p.field").alias("_f"))
     masked, grown = masking.mask(rows, vault, "_t", "_at", "_v", "_f", detectors, **options)
-    values = masked.where("masked <> _t").groupBy("_v", F.col("_at.o").alias("_o")).agg(F.collect_list(F.struct("_at.token", "_at.inner", F.col("masked").alias("value"))).alias("_values"))
-    joined = read.join(values, ["_v", "_o"], "left")
-    return joined.withColumn("masked", _rebuild(F.col(text), F.col("_values"))).drop("_v", "_o", "_p", "_values"), grown
+    values = masked.where("masked <> _t").groupBy(F.col("_at.o.row").alias("_row")).agg(F.collect_list(F.struct("_at.token", "_at.inner", F.col("masked").alias("value"))).alias("_values"))
+    joined = read.withColumn("_row", F.col("_o.row")).join(values, "_row", "left")
+    return joined.withColumn("masked", _rebuild(F.col(text), F.col("_values"))).drop("_v", "_o", "_p", "_values", "_row"), grown
 
 
 def restore_documents(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, style: str = "values", tolerant: bool = True) -> DataFrame:
     """``df`` with restored. Complete documents are restored value by value; malformed ones by the streaming lexer, as far as it goes."""
-    key = F.col(vault_id).cast("string") if vault_id else F.lit("")
+    key = restoring.key_of(vault_id)
     read = stored(df.withColumn("_v", key).withColumn("_row", F.monotonically_increasing_id()).withColumn("_p", document_parts(style)(F.col(text))))
     each = read.where("_p.error is null").select("_v", "_row", F.explode("_p.parts").alias("p")).where("not p.is_key").select("_v", "_row", "p.token", "p.inner", F.col("p.text").alias("_t"))
     back = restoring.restore(each, vault, "_t", "_v", tolerant).where("restored <> _t")

@@ -1,7 +1,7 @@
 """Masking a batch: detect, mint surrogates for new values, rewrite, verify.
 
-A batch is a DataFrame with ``vault_id`` and ``ord`` (unique within the vault, and the reading order). All source texts of a vault
-are reserved before anything is minted: a surrogate that any of them holds, whatever its case and spacing, is skipped.
+A batch is a DataFrame with ``vault_id`` and ``ord``, the reading order within a vault: null comes first, equal ones by their place in the table. A null
+vault_id names the default vault, ''. All source texts of a vault are reserved before anything is minted: a surrogate that any of them holds, whatever its case and spacing, is skipped.
 Nothing is kept until the batch has been verified; ``mask`` raises VaultError and changes nothing otherwise.
 """
 
@@ -34,8 +34,7 @@ def spelling(texts: pd.Series) -> pd.Series:
 
 
 def prepared(df: DataFrame, text: str, ord: str, vault_id: str | None) -> DataFrame:
-    out = df.withColumn("_vault", F.col(vault_id).cast("string") if vault_id else F.lit("")).withColumn("_ord", F.col(ord)).withColumn("_text", F.col(text))
-    return out
+    return df.withColumns({"_vault": restoring.key_of(vault_id), "_ord": F.struct(F.col(ord).alias("ord"), F.monotonically_increasing_id().alias("row")), "_text": F.col(text)})
 
 
 def _literals(sources: DataFrame, generator: Placeholders) -> DataFrame:
@@ -118,13 +117,15 @@ def mask(
     grown = vault.unionByName(new)
     lookup = grown.select(F.col("vault_id").alias("_vault"), "type", F.col("original").alias("value"), "surrogate")
     change = F.struct("start", "end", "surrogate")
-    changes = each.join(lookup, ["_vault", "type", "value"]).groupBy("_vault", "_ord").agg(F.sort_array(F.collect_list(change)).alias("_changes"))
-    joined = found.join(changes, ["_vault", "_ord"], "left")
+    changes = each.join(lookup, ["_vault", "type", "value"]).groupBy(F.col("_ord.row").alias("_row")).agg(F.sort_array(F.collect_list(change)).alias("_changes"))
+    joined = found.withColumn("_row", F.col("_ord.row")).join(changes, "_row", "left")
     none = F.array().cast("array<struct<start:int,end:int,surrogate:string>>")
     masked = stored(joined.withColumn("masked", rewrite(F.col("_text"), F.coalesce("_changes", none))))
+    if masked.where(F.size("entities") != F.coalesce(F.size("_changes"), F.lit(0))).limit(1).count():
+        raise VaultError("a value that was found has no surrogate, or several")
     if verify:
         _verify(masked, grown, generator)
-    return masked.drop("_vault", "_ord", "_text", "_changes"), grown
+    return masked.drop("_vault", "_ord", "_text", "_changes", "_row"), grown
 
 
 def _verify(masked: DataFrame, grown: DataFrame, generator) -> None:

@@ -1,18 +1,20 @@
 """Surrogates in text back to originals: exact, tolerant, or within JSON.
 
-Small vaults (counted, at most ``broadcast_rows`` mappings) are broadcast as lookups. Beyond that each row gets the mappings of its own
-vault by a join, if no single vault is larger than that; for a larger one placeholders are joined one by one.
+Small vaults (counted, at most ``broadcast_rows`` mappings) are broadcast as lookups; larger ones are joined. Both give the same results. A null vault_id names
+the default vault, ''.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lookup import Lookup, restore as restore_text, restore_json
-from .spans import rewrite
+from pyspark.sql.types import StringType
+
+from ..functions.lookup import Folded, Lookup, escaped, json_values, restore as restore_text, restore_json, spelled
 from .tables import stored
+from .windows import nominator
 
 MODES = ("text", "json")
 
@@ -24,11 +26,21 @@ def _apply(texts, lookups, tolerant: bool, mode: str) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def key_of(vault_id: str | None) -> Column:
+    """The vault of a row; without one, or with null, the default vault."""
+    return F.coalesce(F.col(vault_id).cast("string"), F.lit("")) if vault_id else F.lit("")
+
+
+@F.arrow_udf(StringType())
+def spelling_of(surrogates: pa.Array) -> pa.Array:
+    return pa.array([spelled(s) for s in surrogates.to_pylist()], pa.string())
+
+
 def _broadcast(pairs: DataFrame):
     """A function that gives a vault's lookup, made once a worker; ``pairs`` were counted to be few."""
     by: dict[str, list] = {}
     for v, s, o in pairs.collect():
-        by.setdefault(v, []).append((s, o))
+        by.setdefault(v or "", []).append((s, o))
     shared, made = pairs.sparkSession.sparkContext.broadcast(by), {}
 
     def lookup(v: str | None) -> Lookup | None:
@@ -62,7 +74,7 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
     """``df`` with ``restored``."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    key = F.col(vault_id).cast("string") if vault_id else F.lit("")
+    key = key_of(vault_id)
     pairs = vault.select("vault_id", "surrogate", "original")
     if pairs.limit(broadcast_rows + 1).count() <= broadcast_rows:
         lookup = _broadcast(pairs)
@@ -72,46 +84,66 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str
             return _apply(texts.to_pylist(), map(lookup, vaults.to_pylist()), tolerant, mode)
 
         return df.withColumn("restored", back(F.col(text), key))
-    largest = pairs.groupBy("vault_id").count().agg(F.max("count")).head()[0]
-    if mode == "text" and (not tolerant or largest > broadcast_rows):
-        return restore_joined(df, vault, text, vault_id, tolerant=tolerant)
-    if largest > broadcast_rows:
-        raise ValueError(f"JSON restoration takes vaults of {broadcast_rows} mappings at most; split the vault, or restore value by value")
-    lists = pairs.groupBy("vault_id").agg(F.collect_list(F.struct("surrogate", "original")).alias("_pairs"))
-
-    @F.arrow_udf("string")
-    def back_own(texts: pa.Array, own: pa.Array) -> pa.Array:
-        lookups = (Lookup((x["surrogate"], x["original"]) for x in p) if p else None for p in own.to_pylist())
-        return _apply(texts.to_pylist(), lookups, tolerant, mode)
-
-    joined = df.withColumn("_key", key).join(lists.withColumnRenamed("vault_id", "_key"), "_key", "left")
-    return joined.withColumn("restored", back_own(F.col(text), F.col("_pairs"))).drop("_pairs", "_key")
+    return restore_joined(df, vault, text, vault_id, tolerant, mode)
 
 
-#: Placeholders of the default template.
-PLACEHOLDER = "⟨[A-Z0-9_]+_[0-9]+⟩"
+HITS = "array<struct<start:int,end:int,loose:boolean,piece:string>>"
 
 
-def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, pattern: str = PLACEHOLDER, tolerant: bool = False) -> DataFrame:
-    """Restoration of delimited placeholders by equality joins alone, for vaults of any size.
+def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, tolerant: bool = False, mode: str = "text") -> DataFrame:
+    """``restore`` for vaults of any size and surrogates of any kind, by equality joins alone.
 
-    ``tolerant`` takes other spellings of letters too, unless they stand for several originals.
+    Windows of the texts (tolerant: of the folded texts too, at word edges; JSON: of decoded string values) that pass a bit map of the surrogates are joined with
+    the vault. Of a row's matches the scan keeps, from left to right, the exact one before a tolerant one and then the longest, and splices the
+    originals in. Surrogates that stand for several originals in their folded spelling aren't restored tolerantly.
     """
-    from ..functions.native import match_spans
-
-    own = F.col(vault_id).cast("string") if vault_id else F.lit("")
-    numbered = stored(df.withColumns({"_key": own, "_n": F.monotonically_increasing_id()}))
-    finder = f"(?i){pattern}" if tolerant else pattern
-    found = numbered.where(F.col(text).rlike(finder)).select("_key", "_n", F.explode(match_spans(F.col(text), finder)).alias("s"))
-    found = found.select("_key", "_n", "s.start", "s.end", F.col("s.value").alias("_s"))
-    pairs = vault.select(F.col("vault_id").alias("_key"), F.col("surrogate").alias("_s"), "original")
-    hit = found.join(pairs, ["_key", "_s"])
+    tolerant = tolerant and mode == "text"
+    rows = stored(df.withColumns({"_key": key_of(vault_id), "_n": F.monotonically_increasing_id()}))
+    pairs = vault.select(F.coalesce("vault_id", F.lit("")).alias("_key"), F.col("surrogate").alias("piece"), "original").where("piece <> ''")
+    exact = pairs.withColumn("loose", F.lit(False))
+    spark = df.sparkSession
+    found = nominator(exact, "piece")
+    folded, table = None, exact
     if tolerant:
-        loose = pairs.groupBy("_key", F.lower("_s").alias("_low")).agg(F.min("original").alias("original"), F.max("original").alias("other")).where("original = other").drop("other")
-        rest = found.join(pairs, ["_key", "_s"], "left_anti").withColumn("_low", F.lower("_s"))
-        hit = hit.unionByName(rest.join(loose, ["_key", "_low"]).drop("_low"))
-    changes = hit.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("original").alias("surrogate")))).alias("_c"))
-    # Only rows with a change meet their changes; a text is never a key.
-    none = F.array().cast("array<struct<start:int,end:int,surrogate:string>>")
-    joined = numbered.join(changes, "_n", "left")
-    return joined.withColumn("restored", rewrite(F.col(text), F.coalesce("_c", none))).drop("_key", "_n", "_c")
+        loose = pairs.withColumn("piece", spelling_of("piece")).where("piece <> ''").groupBy("_key", "piece").agg(F.min("original").alias("original"), F.max("original").alias("_other"))
+        loose = stored(loose.where("original = _other").select("_key", "piece", "original", F.lit(True).alias("loose")))
+        folded, table = (nominator(loose, "piece"), loose.where(F.contains("piece", F.lit(" "))).limit(1).count() > 0), exact.unionByName(loose)
+    shared = spark.sparkContext.broadcast((found, folded))
+
+    @F.arrow_udf(HITS)
+    def look(texts: pa.Array) -> pa.Array:
+        exact_, loose_ = shared.value
+        out = []
+        for t in texts.to_pylist():
+            hits = []
+            for value, places in json_values(t or "") if mode == "json" else [(t or "", None)]:
+                hits += [(places[a] if places else a, places[b] if places else b, False, value[a:b]) for a, b in exact_.find(value)]
+            if loose_ and t:
+                seen = Folded(t, loose_[1])
+                for a, b in loose_[0].find(seen.low):
+                    if span := seen.edges(a, b):
+                        hits.append((*span, True, seen.low[a:b]))
+            out.append([dict(zip(("start", "end", "loose", "piece"), h, strict=True)) for h in hits])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("loose", pa.bool_()), ("piece", pa.string())])))
+
+    @F.arrow_udf("string")
+    def spliced(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        out = []
+        for t, own in zip(texts.to_pylist(), hits.to_pylist(), strict=True):
+            if t is None or not own:
+                out.append(t)
+                continue
+            parts, at = [], 0
+            for h in sorted(own, key=lambda h: (h["start"], h["loose"], -h["end"])):
+                if h["start"] >= at:
+                    parts += (t[at : h["start"]], escaped(h["original"]) if mode == "json" else h["original"])
+                    at = h["end"]
+            out.append("".join([*parts, t[at:]]))
+        return pa.array(out, pa.string())
+
+    seen = rows.select("_key", "_n", F.explode(look(F.col(text))).alias("h")).select("_key", "_n", "h.*")
+    hit = seen.join(table, ["_key", "loose", "piece"]).groupBy("_n").agg(F.collect_list(F.struct("start", "end", "loose", "original")).alias("_hits"))
+    joined = rows.join(hit, "_n", "left")
+    changed = F.col("_hits").isNotNull()
+    done = F.when(changed, spliced(F.when(changed, F.col(text)), F.col("_hits"))).otherwise(F.col(text))
+    return joined.withColumn("restored", done).drop("_key", "_n", "_hits")

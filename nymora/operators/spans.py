@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ENTITY = "struct<type:string,value:string,start:int,end:int,detector:string,confidence:double>"
 ENTITIES = f"array<{ENTITY}>"
@@ -28,12 +30,25 @@ def resolve(entities: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("s"), e.alias("e")))), lambda r: r["e"])
 
 
+def _spliced(texts: pa.Array, changes: pa.Array) -> pa.Array:
+    out = []
+    for text, own in zip(texts.to_pylist(), changes.to_pylist(), strict=True):
+        if text is None or not own:
+            out.append(text)
+            continue
+        parts, at = [], 0
+        for c in own:
+            parts += (text[at : c["start"]], c["surrogate"])
+            at = c["end"]
+        out.append("".join([*parts, text[at:]]))
+    return pa.array(out, pa.string())
+
+
 def rewrite(text: Column, changes: Column) -> Column:
-    """``text`` with start..end of each of ``changes`` (array<struct<start, end, surrogate>>, disjoint, by start) replaced."""
-    done = F.aggregate(
-        changes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, c: F.struct(c["end"].cast("int").alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["surrogate"])).alias("parts")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(changes) > 0, done).otherwise(text)
+    """``text`` with start..end of each of ``changes`` (array<struct<start, end, surrogate>>, disjoint, by start) replaced.
+
+    An Arrow function splices texts that change, in time linear in the text and its changes; a substring in the JVM counts
+    characters from the text's begin each time. Other texts stay in the JVM.
+    """
+    some = F.size(changes) > 0
+    return F.when(some, F.arrow_udf(_spliced, StringType())(F.when(some, text), F.when(some, changes))).otherwise(text)

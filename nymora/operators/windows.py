@@ -3,6 +3,9 @@
 The values' hashes set bits of a map of 2**``bits`` bits, which Spark aggregates and every task receives (16 MB at most by default, however
 many values there are). A text's windows of the values' lengths become rows only where their bit is set; a join on equality decides
 afterwards. With v values about v / 2**bits of all windows pass without need.
+
+One pass over a text sums ``code * MULTIPLIER**place`` (modulo 2**64); the hash of any window is a difference of two sums, shifted to place 0. So a length more
+costs one subtraction for each place where a value may begin, whatever the length.
 """
 
 from __future__ import annotations
@@ -13,18 +16,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 27
-MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+MULTIPLIER, MIXER = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64; kept, at the longest size that was asked for."""
+    had = _powers.get(base)
+    if had is None or len(had) < n:
+        row = np.full(max(1024, 1 << (n - 1).bit_length()), base, "uint64")
+        row[0] = 1
+        had = _powers[base] = np.cumprod(row, dtype="uint64")
+    return had[:n]
+
+
+class Sums:
+    """The prefix sums of a text."""
+
+    def __init__(self, text: str):
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.sums = np.zeros(len(self.codes) + 1, "uint64")
+        np.cumsum(self.codes.astype("uint64") * powers(MULTIPLIER, len(self.codes)), out=self.sums[1:], dtype="uint64")
+
+    def buckets(self, at: np.ndarray, size: int, bits: int) -> np.ndarray:
+        """The bit numbers of the windows of ``size`` characters that begin at ``at``."""
+        found = (self.sums[at + size] - self.sums[at]) * powers(INVERSE, len(self.sums))[at] + np.uint64(size)
+        found = (found ^ (found >> np.uint64(32))) * MIXER
+        return (found >> np.uint64(64 - bits)).astype("int64")
+
 
+class Nominator:
+    """What every task receives: the map, and by first character the values' lengths."""
 
-def buckets(text: str, size: int, bits: int) -> np.ndarray:
-    """The bit number of each window of ``size`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("uint64")
-    count = max(0, len(codes) - size + 1)
-    found = np.full(count, size, "uint64")
-    for j in range(size):
-        found = found * MULTIPLIER + codes[j : j + count]
-    found = (found ^ (found >> np.uint64(32))) * MIXER
-    return (found >> np.uint64(64 - bits)).astype("int64")
+    def __init__(self, held: np.ndarray, sizes: list[int], firsts: str, bits: int):
+        self.held, self.sizes, self.firsts, self.bits = held, sizes, firsts, bits
+        self._begins: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_begins": None}
+
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the windows that may equal a value, by length, then by start."""
+        if not text or not self.sizes:
+            return []
+        if self._begins is None:
+            self._begins = np.zeros(0x110000, "bool")
+            self._begins[[ord(c) for c in self.firsts]] = True
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        begins = np.flatnonzero(self._begins[codes])
+        if not len(begins):
+            return []
+        sums, out = Sums(text), []
+        for size in self.sizes:
+            at = begins[: np.searchsorted(begins, len(codes) - size, "right")]
+            bit = sums.buckets(at, size, self.bits)
+            hit = at[(self.held[bit >> 3] >> (bit & 7).astype("uint8") & 1).astype("bool")]
+            out += zip(hit.tolist(), (hit + size).tolist(), strict=True)
+        return out
 
 
 def bit_map(values: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -32,7 +81,8 @@ def bit_map(values: DataFrame, column: str, bits: int) -> np.ndarray:
 
     @F.arrow_udf("long")
     def bucket(pieces: pa.Array) -> pa.Array:
-        return pa.array([int(buckets(p, len(p), bits)[0]) for p in pieces.to_pylist()], pa.int64())
+        first = np.zeros(1, "int64")
+        return pa.array([int(Sums(p).buckets(first, len(p), bits)[0]) for p in pieces.to_pylist()], pa.int64())
 
     held = values.select((bucket(F.col(column)) + 1).alias("bit"))  # Spark's bitmap functions count bits from 1
     part = F.expr("bitmap_bucket_number(bit)").alias("part")
@@ -44,23 +94,24 @@ def bit_map(values: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def nominator(values: DataFrame, column: str, bits: int = BITS) -> Nominator:
+    """For the ``values`` that aren't empty. The driver holds the map, the distinct lengths and the distinct first characters."""
+    values = values.where(F.length(column) > 0)
+    kinds = values.agg(F.collect_set(F.length(column)), F.collect_set(F.substring(column, 1, 1))).head()
+    return Nominator(bit_map(values, column, bits), sorted(kinds[0]), "".join(kinds[1]), bits)
+
+
 def nominated(df: DataFrame, text: str, keep: list[str], values: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     """``keep``, at (from 0) and piece for all windows of ``text`` that equal one of the ``values``, and for few others."""
-    values = values.where(F.length(column) > 0)
-    sizes = sorted(r[0] for r in values.select(F.length(column)).distinct().collect())
-    shared = df.sparkSession.sparkContext.broadcast((bit_map(values, column, bits), sizes))
+    shared = df.sparkSession.sparkContext.broadcast(nominator(values, column, bits))
 
     @F.arrow_udf("array<struct<at:int,piece:string>>")
     def look(texts: pa.Array) -> pa.Array:
-        held, sizes = shared.value
-        out = []
+        out, ends = [], [0]
         for t in texts.to_pylist():
-            found = []
-            for size in sizes if t else ():
-                bit = buckets(t, size, bits)
-                found += [{"at": at, "piece": t[at : at + size]} for at in np.flatnonzero(held[bit >> 3] >> (bit & 7).astype("uint8") & 1).tolist()]
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.string())])))
+            out += [(a, t[a:b]) for a, b in shared.value.find(t or "")]
+            ends.append(len(out))
+        rows = pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], ["at", "piece"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return df.select(*keep, F.explode(look(F.col(text))).alias("_w")).select(*keep, "_w.at", "_w.piece")
-
