@@ -45,7 +45,8 @@ class Engine:
     def restore_documents(self, df: DataFrame, text: str = "masked", vault_id: str | None = None, style: str = "values", tolerant: bool = True) -> DataFrame:
         return documents.restore_documents(df, self.vault, text, vault_id, style, tolerant)
 
-    def restore_stream(self, chunks: DataFrame, mode: str = "text", vault_id: str = "") -> DataFrame:
-        """For streaming and batch DataFrames of chunks."""
-        make = streams.restore_stream if chunks.isStreaming else streams.restore_chunks
-        return make(chunks, self.vault, mode, vault_id)
+    def restore_stream(self, chunks: DataFrame, mode: str = "text", vault_id: str = "", **times) -> DataFrame:
+        """For streaming and batch DataFrames of chunks; ``times`` (idle, finished) bound the state of streaming ones."""
+        if chunks.isStreaming:
+            return streams.restore_stream(chunks, self.vault, mode, vault_id, **times)
+        return streams.restore_chunks(chunks, self.vault, mode, vault_id)

@@ -275,8 +275,7 @@ def restore_chunks(spark, sf_dir):
     # By the streaming query itself: the chunks are a file source, read until it has no more.
     source = stored(chunks)
     folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
-    running = streams.restore_stream(spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rpartition("/")[0]), vault)
-    # One mapping's state a stream; few partitions, as the store has a file or more for each.
+    running = streams.restore_stream(spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rpartition("/")[0]), vault, idle=None)
     query = running.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema(running.schema).parquet(folder + "/out")

@@ -1,25 +1,26 @@
 """Restoration of streams: chunks keyed by stream and block, in sequence, holding back only what may still be a surrogate.
 
 Input columns: stream_id string, block int, seq long (from 0), chunk string, final boolean. Output: one row per chunk in order, with what
-it releases; the final chunk of a key releases the rest. Chunks that come before their turn wait in the state, which is
-bounded by the longest surrogate and the gap in the sequence. The vault is fixed when the query starts.
+it releases; the final chunk of a key releases the rest. Chunks that come before their turn wait in a map state, by number. The vault is fixed when the query starts.
+
+State goes away: a key without news for ``idle`` seconds is flushed by a timer, which releases what was held back and what waits, in order, as one row more; what
+comes later for a finished key is ignored for ``finished`` seconds, for which only a mark is kept, with a time to live.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.lookup import JSONStream, TextStream, Lookup
+from ..functions.lookup import JSONStream, Lookup, TextStream
 
 CHUNKS = "stream_id string, block int, seq long, chunk string, final boolean"
 OUTPUT = "stream_id string, block int, seq long, text string"
-STATE = "next long, waiting string, held string, done boolean"
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _shared(chunks: DataFrame, vault: DataFrame, vault_of: str, max_mappings: int):
@@ -30,31 +31,101 @@ def _shared(chunks: DataFrame, vault: DataFrame, vault_of: str, max_mappings: in
     return chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in pairs.collect()])
 
 
-def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000) -> DataFrame:
-    """``chunks`` restored by one vault (exact matching); ``mode`` json decodes string values of serialized JSON."""
-    shared = _shared(chunks, vault, vault_of, max_mappings)
-    kind = JSONStream if mode == "json" else TextStream
-    lookups: list[Lookup] = []
-
-    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not lookups:
-            lookups.append(Lookup(shared.value))
-        next_, waiting, held, done = state.get if state.exists else (0, "{}", "", False)
-        ready = json.loads(waiting)
-        for batch in batches:
-            for seq, chunk, final in zip(batch["seq"], batch["chunk"], batch["final"], strict=True):
-                if seq >= next_:
-                    ready.setdefault(str(int(seq)), [chunk or "", bool(final)])
-        stream = kind.load(lookups[0], held) if held else kind(lookups[0])
-        out = []
-        while not done and str(next_) in ready:
-            chunk, final = ready.pop(str(next_))
-            out.append((key[0], key[1], next_, stream.feed(chunk, final)))
-            next_, done = next_ + 1, final
-        state.update((next_, "{}" if done else json.dumps(ready), "" if done else stream.state(), done))
+def with_rocksdb(spark: SparkSession) -> None:
+    """State with timers and lists needs this provider; a session that chose another one is left alone."""
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+class Late:
+    """A broadcast that is looked up when it is used: Spark also loads a processor in a process of the driver that has no broadcasts."""
+
+    def __init__(self, found):
+        self.found = found
+
+    def __reduce__(self):
+        return Late, (self.found if isinstance(self.found, tuple) else self.found.__reduce__(),)
+
+    @property
+    def value(self):
+        if isinstance(self.found, tuple):
+            make, arguments = self.found
+            self.found = make(*arguments)
+        return self.found.value
+
+
+class Restoring(StatefulProcessor):
+    """Chunks of one key in order."""
+
+    def __init__(self, shared, mode: str, idle: int | None, finished: int):
+        self.shared, self.kind, self.idle, self.finished = Late(shared), JSONStream if mode == "json" else TextStream, idle and 1000 * idle, 1000 * finished
+        self.lookup: Lookup | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "next long, held string, timer long, waiting int")
+        self.waiting = handle.getMapState("waiting", "seq long", "chunk string, final boolean")
+        self.done = handle.getValueState("done", "at long", self.finished) if self.idle else handle.getValueState("done", "at long")
+
+    def _fed(self, key: tuple, now: int, ready: list[tuple[int, str, bool]], flush: bool) -> Iterator[pd.DataFrame]:
+        if self.lookup is None:
+            self.lookup = Lookup(self.shared.value)
+        next_, held, timer, n = self.head.get() if self.head.exists() else (0, "", -1, 0)
+        # The state is read and written once a call, not once a chunk.
+        kept = {seq: value for (seq,), value in self.waiting.iterator()} if n else {}
+        here = dict(kept)
+        for seq, chunk, final in ready:
+            if seq >= next_:
+                here.setdefault(seq, (chunk, final))
+        stream = self.kind.load(self.lookup, held) if held else self.kind(self.lookup)
+        out, ended = [], False
+        while not ended and next_ in here:
+            chunk, ended = here.pop(next_)
+            out.append((*key, next_, stream.feed(chunk, ended)))
+            next_ += 1
+        if flush and not ended:
+            out.append((*key, next_, "".join([*(stream.feed(here[seq][0]) for seq in sorted(here)), stream.feed("", True)])))
+            ended = True
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        if ended:
+            self.head.clear()
+            if kept:
+                self.waiting.clear()
+            self.done.update((now,))
+        else:
+            for seq in kept.keys() - here.keys():
+                self.waiting.removeKey((seq,))
+            for seq in here.keys() - kept.keys():
+                self.waiting.updateValue((seq,), here[seq])
+            if self.idle:
+                self.handle.registerTimer(now + self.idle)
+            self.head.update((next_, stream.state(), now + self.idle if self.idle else -1, len(here)))
         yield pd.DataFrame(out, columns=["stream_id", "block", "seq", "text"])
 
-    return chunks.groupBy("stream_id", "block").applyInPandasWithState(feed, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ready = [(int(s), c or "", bool(f)) for batch in rows for s, c, f in zip(batch["seq"], batch["chunk"], batch["final"], strict=True)]
+        if not self.done.exists():
+            yield from self._fed(key, timerValues.getCurrentProcessingTimeInMs() if self.idle else 0, ready, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.head.exists() and self.head.get()[2] == expiredTimerInfo.getExpiryTimeInMs():
+            next_, held, _, n = self.head.get()
+            self.head.update((next_, held, -1, n))
+            yield from self._fed(key, timerValues.getCurrentProcessingTimeInMs(), [], True)
+
+    def close(self) -> None:
+        pass
+
+
+def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000, idle: int | None = 3600, finished: int = 3600) -> DataFrame:
+    """``chunks`` restored by one vault (exact matching); ``mode`` json decodes string values of serialized JSON. Times in seconds.
+
+    Timers keep a query running; ``idle`` None is for one that ends with its input (``availableNow``): there nothing is flushed and marks stay.
+    """
+    with_rocksdb(chunks.sparkSession)
+    processor = Restoring(_shared(chunks, vault, vault_of, max_mappings), mode, idle, finished)
+    return chunks.groupBy("stream_id", "block").transformWithStateInPandas(processor, OUTPUT, "append", "processingTime" if idle else "none")
 
 
 def restore_chunks(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000) -> DataFrame:

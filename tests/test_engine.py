@@ -160,7 +160,7 @@ def test_structured_stream(spark, batch, tmp_path):
     for i in range(3):
         spark.createDataFrame(rows[i::3], streams.CHUNKS).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     source = spark.readStream.schema(streams.CHUNKS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = engine.restore_stream(source).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = engine.restore_stream(source, idle=None).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {}
     for r in spark.table("restored").orderBy("seq").collect():
