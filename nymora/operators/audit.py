@@ -13,6 +13,7 @@ from ..functions.hits import Cover
 from ..functions.scan import scan
 from .detect import checked, entities
 from .restore import key_of
+from .spans import not_within
 from .windows import nominated
 
 FINDING = "struct<kind:string,type:string,value:string,start:int,end:int,detector:string,confidence:double>"
@@ -126,11 +127,10 @@ def findings_joined(df: DataFrame, vault: DataFrame, key: str, text: str = "text
     if not detectors:
         return out
     marks = leaked_joined(df, vault.withColumn("original", F.col("surrogate")), key, text)
-    known = leaks.select(key, "start", "end").unionByName(marks.select(key, "start", "end")).distinct().select(F.col(key).alias("_k"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    known = leaks.select(key, "start", "end").unionByName(marks.select(key, "start", "end")).distinct()
     hits = df.select(key, F.explode(entities(text, None, detectors, resolved=False)).alias("e")).select(key, "e.type", "e.value", "e.start", "e.end")
     values = vault.select(F.col("original").alias("value")).union(vault.select("surrogate")).distinct()
-    new = hits.join(values, "value", "left_anti")
-    new = new.join(known, (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b")), "left_anti")
+    new = not_within(hits.join(values, "value", "left_anti"), known, [key])
     return out.unionByName(new.select(key, F.lit("new_pii").alias("kind"), "type", "value", "start", "end"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +30,34 @@ def resolve(entities: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("s"), e.alias("e")))), lambda r: r["e"])
 
 
+def in_bins(spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """A row for each bin of ``width`` that a span touches."""
+    return spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """Pairs of spans (start, end; not empty) of the same ``keys`` that overlap; columns of ``right`` are given as ``right_<name>``.
+
+    An equality join on keys and bins: a key with many spans costs its neighbours, not their product. A pair that shares several bins is given by the
+    one in which its overlap begins. ``width`` should be about the length of a span.
+    """
+    named = right.select(*(F.col(c) if c in keys else F.col(c).alias(f"right_{c}") for c in right.columns))
+    a, b = in_bins(left, "start", "end", width), in_bins(named, "right_start", "right_end", width)
+    both = a.join(b, [*keys, "_bin"]).where((F.col("start") < F.col("right_end")) & (F.col("right_start") < F.col("end")))
+    return both.where(F.col("_bin") == F.floor(F.greatest("start", "right_start") / width)).drop("_bin")
+
+
+def not_within(spans: DataFrame, outer: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """The ``spans`` that lie within none of ``outer`` (start, end) of the same ``keys``."""
+    held = in_bins(outer.select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b")), "_a", "_b", width)
+    own = spans.withColumn("_bin", F.floor(F.col("start") / width)).alias("s")
+    same = [F.col(f"s.{k}") == F.col(f"o.{k}") for k in (*keys, "_bin")]
+    inside = (F.col("_a") <= F.col("s.start")) & (F.col("s.end") <= F.col("_b"))
+    for one in same:
+        inside = inside & one
+    return own.join(held.alias("o"), inside, "left_anti").drop("_bin")
+
+
 def _spliced(texts: pa.Array, changes: pa.Array) -> pa.Array:
     out = []
     for text, own in zip(texts.to_pylist(), changes.to_pylist(), strict=True):

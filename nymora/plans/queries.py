@@ -11,7 +11,7 @@ from ..engine import Engine
 from ..functions import native
 from ..functions.scan import KnownNames
 from ..functions.surrogates import Placeholders, Realistic, luhn_digit
-from ..operators import audit, detect, documents, evaluate, mask, restore, spans
+from ..operators import audit, detect, documents, evaluate, mask, names, restore, spans
 from ..operators.tables import shared_folder, stored
 from ..sources import corpus, tables
 from ..sources import vault as vaults
@@ -165,14 +165,72 @@ def credential_url_forms(spark, sf_dir):
     return pages.select("page_id", (F.size(detect.entities("url", detectors=("url_credential",))) > 0).alias("flagged"))
 
 
+def least_keys_from_customer(spark, sf_dir):
+    """Key formats of least length without a digit, and a short unsigned token."""
+    k = F.col("c_custkey")
+    letters = F.translate(F.lpad(k.cast("string"), 10, "0"), "0123456789", "abcdefghij")
+    key = F.when(k % 4 == 0, F.concat(F.lit("xoxb-"), letters)).when(k % 4 == 1, F.concat(F.lit("AKIA"), F.upper(letters), F.lit("ABCDEF"))).when(k % 4 == 2, F.concat(F.lit("sk_live_"), letters, F.lit("abcdef"))).otherwise(F.concat(F.lit("eyJhbGciOiJub25lIn0."), letters, F.lit(".")))
+    return _keyed(spark, sf_dir, F.concat(F.lit("use "), key, F.lit(" now")), "secret")
+
+
+def private_keys_from_keys(spark, sf_dir):
+    k = F.col("c_custkey")
+    label = F.when(k % 3 == 0, "RSA ").when(k % 3 == 1, "EC ").otherwise("")
+    text = F.concat(F.lit("see\n-----BEGIN "), label, F.lit("PRIVATE KEY-----\nMII"), k.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("\n-----END "), label, F.lit("PRIVATE KEY-----"))).otherwise(""), F.lit("\n\n. The end"))
+    return _keyed(spark, sf_dir, text, "secret")
+
+
+def http_archives_from_keys(spark, sf_dir):
+    """HAR 1.2 entries with a cookie header, a cookie, a key in the query and a form."""
+    k = F.col("c_custkey").cast("string")
+    head = '{"log":{"version":"1.2","entries":[{"request":{"url":"http://a.example/","headers":[{"name":"Cookie","value":"sid='
+    text = F.concat(F.lit(head), k, F.lit('"}],"cookies":[{"name":"s","value":"c'), k, F.lit('"}],"queryString":[{"name":"api_key","value":"q'), k, F.lit('"}],"postData":{"mimeType":"application/x-www-form-urlencoded","text":"password=p'), k, F.lit('"}}}]}}'))
+    return _keyed(spark, sf_dir, text, "secret")
+
+
+def names_from_customer(spark, sf_dir):
+    """Customers of one segment, as names, in a line for each order; by joins, as for a table beyond any broadcast."""
+    known = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("name"), F.lit("ORG").alias("type"))
+    number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    line = F.concat(F.lit("Deal of CUSTOMER#"), number, F.lit(", not xcustomer#"), number, F.lit(" or Customer#"), number, F.lit("7 on "), F.col("o_orderstatus"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", line.alias("text"))
+    found = names.known_names(orders, known, broadcast_rows=0)
+    return found.select("o_orderkey", F.explode("entities").alias("e")).select("o_orderkey", "e.value", F.col("e.start").cast("long").alias("start"))
+
+
 # --- spans, vault, mask, restore, audit -----------------------------------------------------------------------------------
 
 
+def _line_spans(spark, sf_dir):
+    """A span for each line of an order, from its keys."""
+    start = F.pmod("l_partkey", F.lit(60)).cast("int")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start"), (start + 1 + F.pmod("l_suppkey", F.lit(12))).cast("int").alias("end"), F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(3)).cast("double").alias("confidence"))
+    return lines.where("l_orderkey is not null")
+
+
 def span_overlap_resolution(spark, sf_dir):
-    rows = [(1, "EMAIL", 0, 10, 1.0), (1, "SECRET", 5, 30, 1.0), (1, "IPV4", 12, 20, 1.0), (1, "CARD", 31, 40, 0.7), (1, "PHONE", 35, 50, 0.95), (2, "DOB", 0, 8, 0.85), (2, "SSN", 8, 12, 0.9), (2, "IBAN", 3, 9, 0.99)]
-    made = spark.createDataFrame(rows, "id int, type string, start int, end int, confidence double")
-    entity = F.struct("type", F.lit("").alias("value"), "start", "end", F.lit("d").alias("detector"), "confidence")
-    return made.groupBy("id").agg(F.collect_list(entity).alias("e")).select("id", F.explode(spans.resolve(F.col("e"))).alias("k")).select("id", "k.type", "k.start", "k.end")
+    entity = F.struct(F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("type"), F.lit("").alias("value"), "start", "end", F.lit("d").alias("detector"), "confidence")
+    own = _line_spans(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", entity.alias("e")))), lambda x: x["e"]).alias("e"))
+    return own.select("l_orderkey", F.explode(spans.resolve(F.col("e"))).alias("k")).select("l_orderkey", "k.type", "k.start", "k.end")
+
+
+def span_interval_join(spark, sf_dir):
+    """Overlaps between the odd and the even lines' spans of an order."""
+    own = _line_spans(spark, sf_dir)
+    pairs = spans.overlapping(own.where("l_linenumber % 2 = 1"), own.where("l_linenumber % 2 = 0"), ["l_orderkey"], width=8)
+    return pairs.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.least("end", "right_end") - F.greatest("start", "right_start")).cast("long").alias("n_shared"))
+
+
+def mask_null_keys(spark, sf_dir):
+    """Turns of which some have no vault or no order: what stays in the clear, and what comes back."""
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.when(F.col("conv_id") % 4 > 0, F.col("conv_id").cast("string")).alias("vault"), F.when(F.col("turn") % 3 > 0, F.col("turn")).alias("place"), F.concat(F.lit("mail u"), F.pmod("conv_id", F.lit(7)).cast("string"), F.lit("@example.org or w"), F.col("turn").cast("string"), F.lit("@example.net")).alias("text")
+    )
+    masked, vault = mask.mask(turns, vaults.empty(spark), "text", "place", "vault", detectors=("email",))
+    back = restore.restore(masked, vault, vault_id="vault", broadcast_rows=0)
+    sums = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("masked").contains("@")).alias("n_clear"), F.count_if(F.col("restored") == F.col("text")).alias("n_restored"), F.sum(F.size("entities")).alias("n_entities")]
+    held = vault.groupBy("vault_id").agg(F.count(F.lit(1)).alias("n_mappings"))
+    return back.groupBy(F.coalesce("vault", F.lit("")).alias("vault_id")).agg(*sums).join(held, "vault_id")
 
 
 def _masked(spark, sf_dir, detectors=("ip",)):
@@ -209,6 +267,23 @@ def restore_tolerant_roundtrip(spark, sf_dir):
     return back.agg(F.count_if(F.col("restored") != F.upper("text")).alias("n_mismatches"), F.count_if(F.col("masked") != F.col("restored")).alias("n_restored"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def restore_realistic_joined(spark, sf_dir):
+    """Mailboxes and addresses under realistic surrogates, spelled in capitals, and back by joins alone."""
+    masked, vault = mask.mask(_docs(spark, sf_dir), vaults.empty(spark), "text", "doc_id", detectors=("email", "ip"), generator=Realistic())
+    capitals = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    found = restore.restore(masked.withColumn("masked", capitals("masked")), vault, broadcast_rows=0)
+    return found.select("doc_id", F.md5(capitals("restored").cast("binary")).alias("restored_md5"))
+
+
+def restore_json_joined(spark, sf_dir):
+    """Documents around the events' props with addresses in values and keys, and back by joins alone."""
+    vault = _table(spark, sf_dir, "events").select(F.lit("").alias("vault_id"), F.col("event_id").alias("ord"), F.lit("IPV4").alias("type"), F.concat(F.lit('say "'), F.col("event_id").cast("string"), F.lit('"')).alias("original"), F.concat(F.lit("⟨IPV4_"), F.col("event_id").cast("string"), F.lit("⟩")).alias("surrogate"), F.lit("").alias("detector"))
+    mark = F.concat(F.lit("⟨IPV4_"), F.col("event_id").cast("string"), F.lit("⟩"))
+    made = F.concat(F.lit('{"'), mark, F.lit('":1,"a":["'), mark, F.lit(" and \\u27e8IPV4_"), F.col("event_id").cast("string"), F.lit('⟩"],"n":1.10}'))
+    back = restore.restore(_table(spark, sf_dir, "events").select("event_id", made.alias("masked")), vault, mode="json", broadcast_rows=0)
+    return back.select("event_id", "restored")
+
+
 def _ip_vault(spark, sf_dir):
     found = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"), F.lit(0))).alias("original")).distinct()
     return stored(found.select(F.lit("").alias("vault_id"), F.lit(0).cast("long").alias("ord"), F.lit("IPV4").alias("type"), "original", F.concat(F.lit("⟨"), "original", F.lit("⟩")).alias("surrogate"), F.lit("").alias("detector")))
@@ -302,7 +377,8 @@ QUERIES = (
     ipv6_from_keys, phone_international_from_keys, secret_rules_from_keys, address_from_keys, credential_url_forms,
     realistic_surrogates, span_overlap_resolution, vault_mint, vault_uniqueness, mask_documents, mask_documents_all, restore_exact_roundtrip,
     restore_tolerant_roundtrip, audit_leaked_originals, audit_new_pii, url_query_params, credential_url_flags, mask_conversations, mask_chat_messages,
-    mask_event_props, restore_chunks, evaluation_scores, evaluation_false_alarms,
+    mask_event_props, restore_chunks, evaluation_scores, evaluation_false_alarms, least_keys_from_customer, private_keys_from_keys, http_archives_from_keys,
+    names_from_customer, span_interval_join, mask_null_keys, restore_realistic_joined, restore_json_joined,
 )
 
 
@@ -321,6 +397,12 @@ ips AS (
     AND NOT regexp_matches(value, '^(127\.|2[45][0-9]\.|0\.0\.0\.0$)')
 )
 """
+LINE_SPANS = """
+WITH RECURSIVE spans AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_partkey % 60 AS INTEGER) AS start, CAST(l_partkey % 60 + 1 + l_suppkey % 12 AS INTEGER) AS "end", CAST((l_partkey + l_linenumber) % 3 AS DOUBLE) AS confidence
+  FROM lineitem WHERE l_orderkey IS NOT NULL
+)
+"""
 MINTED = (
     IPS
     + """, firsts AS (
@@ -397,8 +479,46 @@ SQL = {
             WHEN t = 3 AND n <= 800 THEN ['202','212','312','415','512','617','702','917'][(n // 100) % 8 + 1] || '-555-01' || lpad(CAST(n % 100 AS VARCHAR), 2, '0')
             WHEN t = 4 THEN left(z, -1) || CAST((10 - {LUHN.format("z")}) % 10 AS VARCHAR)
             ELSE '⟨' || ['PERSON','ORG','EMAIL','PHONE','CARD','SSN'][t + 1] || '_' || n || '⟩' END AS surrogate FROM c""",
-    "span_overlap_resolution": """
-        SELECT * FROM (VALUES (1, 'SECRET', 5, 30), (1, 'PHONE', 35, 50), (2, 'IBAN', 3, 9)) AS t(id, type, start, "end")""",
+    "span_overlap_resolution": LINE_SPANS + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY confidence DESC, "end" - start DESC, start, l_linenumber) AS k FROM spans
+), chosen AS (
+  SELECT l_orderkey, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR, a INTEGER, b INTEGER)[]) AS kept FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT r.l_orderkey, r.k, CASE WHEN len(list_filter(c.kept, lambda x: x.a < r."end" AND r.start < x.b)) > 0 THEN c.kept ELSE list_append(c.kept, {'t': 'T' || r.l_linenumber, 'a': r.start, 'b': r."end"}) END
+  FROM chosen c JOIN ranked r ON r.l_orderkey = c.l_orderkey AND r.k = c.k + 1
+), last AS (
+  SELECT l_orderkey, unnest(arg_max(kept, k)) AS x FROM chosen GROUP BY l_orderkey
+)
+SELECT l_orderkey, x.t AS type, x.a AS start, x.b AS "end" FROM last
+""",
+    "span_interval_join": LINE_SPANS + """
+SELECT a.l_orderkey, count(*) AS n_pairs, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS n_shared
+FROM spans a JOIN spans b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0 AND a.start < b."end" AND b.start < a."end" GROUP BY a.l_orderkey
+""",
+    "least_keys_from_customer": """
+SELECT c_custkey, 'SECRET' AS type, CASE c_custkey % 4 WHEN 0 THEN 'xoxb-' || t WHEN 1 THEN 'AKIA' || upper(t) || 'ABCDEF' WHEN 2 THEN 'sk_live_' || t || 'abcdef' ELSE 'eyJhbGciOiJub25lIn0.' || t || '.' END AS value
+FROM (SELECT c_custkey, translate(lpad(CAST(c_custkey AS VARCHAR), 10, '0'), '0123456789', 'abcdefghij') AS t FROM customer)
+""",
+    "private_keys_from_keys": r"""
+SELECT c_custkey, 'SECRET' AS type, '-----BEGIN ' || l || E'PRIVATE KEY-----\nMII' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN E'\n-----END ' || l || 'PRIVATE KEY-----' ELSE '' END AS value
+FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'RSA ' WHEN 1 THEN 'EC ' ELSE '' END AS l FROM customer)
+""",
+    "http_archives_from_keys": """
+SELECT c_custkey, 'SECRET' AS type, unnest(['sid=' || c_custkey, 'c' || c_custkey, 'q' || c_custkey, 'http://a.example/', 'password=p' || c_custkey]) AS value FROM customer
+""",
+    "names_from_customer": """
+SELECT o_orderkey, 'CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS value, CAST(8 AS BIGINT) AS start
+FROM orders JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') WHERE c_mktsegment = 'BUILDING'
+""",
+    "mask_null_keys": """
+SELECT coalesce(CASE WHEN conv_id % 4 > 0 THEN CAST(conv_id AS VARCHAR) END, '') AS vault_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_clear, count(*) AS n_restored, 2 * count(*) AS n_entities,
+       count(DISTINCT conv_id % 7) + count(DISTINCT turn) AS n_mappings
+FROM conversations GROUP BY 1
+""",
+    "restore_realistic_joined": "SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS restored_md5 FROM documents",
+    "restore_json_joined": r"""
+SELECT event_id, '{"⟨IPV4_' || event_id || '⟩":1,"a":["say \"' || event_id || '\" and say \"' || event_id || '\""],"n":1.10}' AS restored FROM events
+""",
     "vault_mint": f"WITH {MINTED} SELECT k - 1 AS ord, 'IPV4' AS type, value AS original, '⟨IPV4_' || k || '⟩' AS surrogate FROM minted",
     "vault_uniqueness": f"""
         WITH {IPS}, each AS (

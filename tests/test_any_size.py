@@ -160,3 +160,17 @@ def test_disjoint_choice_equals_all_against_all(spans_):
         if all(h.end <= k.start or k.end <= h.start for k in kept):
             kept.append(h)
     assert disjoint(hits) == sorted(kept, key=lambda h: h.start)
+
+
+def test_interval_join_equals_all_against_all(spark):
+    rng = random.Random(4)
+    made = lambda n: [(k, s, s + rng.randint(1, 40)) for k, s in ((rng.choice("ab"), rng.randrange(300)) for _ in range(n))]
+    left, right = made(150), made(150)
+    a, b = (spark.createDataFrame(x, "k string, start int, end int") for x in (left, right))
+    want = sorted((k, s, e, t, f) for k, s, e in left for j, t, f in right if k == j and s < f and t < e)
+    for width in (1, 7, 64):
+        assert sorted((r.k, r.start, r.end, r.right_start, r.right_end) for r in spans.overlapping(a, b, ["k"], width).collect()) == want
+        assert sorted(map(tuple, spans.not_within(a, b, ["k"], width).collect())) == sorted(x for x in left if not any(x[0] == k and s <= x[1] and x[2] <= e for k, s, e in right))
+    many = spark.range(50_000).select(F.lit("k").alias("k"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 15).cast("int").alias("end"))
+    began = time.perf_counter()
+    assert spans.overlapping(many, many, ["k"]).count() == 3 * 50_000 - 2 and time.perf_counter() - began < 60
