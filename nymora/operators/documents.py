@@ -74,22 +74,3 @@ def restore_documents(df: DataFrame, vault: DataFrame, text: str = "masked", vau
     whole = read.join(values, "_row", "left").withColumn("_whole", _rebuild(F.col(text), F.col("_values")))
     lexed = restoring.restore(whole, vault, text, "_v", False, "json")
     return lexed.withColumn("restored", F.when(F.col("_p.error").isNull(), F.col("_whole")).otherwise(F.col("restored"))).drop("_v", "_row", "_p", "_values", "_whole")
-
-
-# --- replay: what was restored once goes back as it came ------------------------------------------------------------------
-
-
-def remembered(restored: DataFrame, original: str, shown: str) -> DataFrame:
-    """(fingerprint, original) of restored contents; kept as a table beside the vault."""
-    return restored.select(F.sha2(F.col(shown), 256).alias("fingerprint"), F.col(original).alias("original")).distinct()
-
-
-def replayed(df: DataFrame, memory: DataFrame, text: str = "text", role: str | None = "role") -> DataFrame:
-    """``df`` with ``replay``: the original of an assistant's content that was restored before, else null. VaultError if it is ambiguous."""
-    clash = memory.groupBy("fingerprint").agg(F.count_distinct("original").alias("n")).where("n > 1")
-    keyed = df.withColumn("fingerprint", F.sha2(F.col(text), 256))
-    if role:
-        keyed = keyed.withColumn("fingerprint", F.when(F.col(role) == "assistant", F.col("fingerprint")))
-    if keyed.join(clash, "fingerprint", "left_semi").limit(1).count():
-        raise VaultError("a restored content has several originals; send the original instead")
-    return keyed.join(memory.withColumnRenamed("original", "replay"), "fingerprint", "left").drop("fingerprint")

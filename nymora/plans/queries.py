@@ -11,7 +11,7 @@ from ..engine import Engine
 from ..functions import native
 from ..functions.scan import KnownNames
 from ..functions.surrogates import Placeholders, Realistic, luhn_digit
-from ..operators import audit, detect, documents, evaluate, mask, names, restore, spans
+from ..operators import audit, detect, documents, evaluate, mask, names, replay, restore, spans
 from ..operators.tables import shared_folder, stored
 from ..sources import corpus, tables
 from ..sources import vault as vaults
@@ -342,6 +342,15 @@ def mask_event_props(spark, sf_dir):
     return back.agg(F.count_if(F.col("masked") != F.col("doc")).alias("n_masked"), F.count_if(F.col("restored") != F.col("doc")).alias("n_mismatches"))
 
 
+def replay_conversations(spark, sf_dir):
+    """The last three turns of each conversation's assistant are known by turn, however alike their contents are."""
+    said = _table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "role", F.lit("Certainly.").alias("text"), F.concat(F.lit("⟨TURN_"), F.col("turn").cast("string"), F.lit("⟩ "), "text").alias("original"))
+    cache = replay.remember(replay.empty(spark), said, "text", "original", "turn", "conv_id", "turn", bound=3)
+    kept = said.join(cache.entries.select(F.col("scope").cast("long").alias("conv_id"), F.col("occurrence").cast("long").alias("turn")), ["conv_id", "turn"], "left_semi")
+    back = replay.replay(kept, cache, "text", "conv_id", "turn")
+    return back.select("conv_id", "turn", F.md5(F.col("replay").cast("binary")).alias("replay_md5"))
+
+
 def restore_chunks(spark, sf_dir):
     masked, vault = _masked(spark, sf_dir)
     n = F.floor(F.length("masked") / 24).cast("int")
@@ -378,7 +387,7 @@ QUERIES = (
     realistic_surrogates, span_overlap_resolution, vault_mint, vault_uniqueness, mask_documents, mask_documents_all, restore_exact_roundtrip,
     restore_tolerant_roundtrip, audit_leaked_originals, audit_new_pii, url_query_params, credential_url_flags, mask_conversations, mask_chat_messages,
     mask_event_props, restore_chunks, evaluation_scores, evaluation_false_alarms, least_keys_from_customer, private_keys_from_keys, http_archives_from_keys,
-    names_from_customer, span_interval_join, mask_null_keys, restore_realistic_joined, restore_json_joined,
+    names_from_customer, span_interval_join, mask_null_keys, restore_realistic_joined, restore_json_joined, replay_conversations,
 )
 
 
@@ -494,6 +503,10 @@ SELECT l_orderkey, x.t AS type, x.a AS start, x.b AS "end" FROM last
     "span_interval_join": LINE_SPANS + """
 SELECT a.l_orderkey, count(*) AS n_pairs, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS n_shared
 FROM spans a JOIN spans b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0 AND a.start < b."end" AND b.start < a."end" GROUP BY a.l_orderkey
+""",
+    "replay_conversations": """
+SELECT conv_id, turn, md5('⟨TURN_' || turn || '⟩ ' || text) AS replay_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r <= 3
 """,
     "least_keys_from_customer": """
 SELECT c_custkey, 'SECRET' AS type, CASE c_custkey % 4 WHEN 0 THEN 'xoxb-' || t WHEN 1 THEN 'AKIA' || upper(t) || 'ABCDEF' WHEN 2 THEN 'sk_live_' || t || 'abcdef' ELSE 'eyJhbGciOiJub25lIn0.' || t || '.' END AS value

@@ -190,14 +190,6 @@ def test_documents_and_messages(spark):
     assert documents.restore_documents(cut, known).head().restored == '{"a":"q\\"@y.org and ⟨EM'
 
 
-def test_replay(spark):
-    memory = documents.remembered(spark.createDataFrame([("⟨EMAIL_1⟩", "x@y.org")], "original string, shown string"), "original", "shown")
-    turns = spark.createDataFrame([("assistant", "x@y.org"), ("user", "x@y.org")], "role string, text string")
-    assert {r.role: r.replay for r in documents.replayed(turns, memory).collect()} == {"assistant": "⟨EMAIL_1⟩", "user": None}
-    with pytest.raises(vaults.VaultError):
-        documents.replayed(turns, memory.union(memory.withColumn("original", F.lit("other"))))
-
-
 def test_resolution_in_the_jvm_equals_the_scanner(spark):
     rng = random.Random(9)
     cases = [[scan.Hit("T", s := rng.randrange(30), s + rng.randint(1, 9), "d", rng.choice((0.5, 0.9, 1.0))) for _ in range(rng.randrange(9))] for _ in range(60)]
