@@ -9,6 +9,7 @@ comes later for a finished key is ignored for ``finished`` seconds, for which on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,9 +58,10 @@ class Late:
 class Restoring(StatefulProcessor):
     """Chunks of one key in order."""
 
-    def __init__(self, shared, mode: str, idle: int | None, finished: int):
+    def __init__(self, shared, mode: str, idle: int | None, finished: int, json_keys: str | None):
         self.shared, self.kind, self.idle, self.finished = Late(shared), JSONStream if mode == "json" else TextStream, idle and 1000 * idle, 1000 * finished
         self.lookup: Lookup | None = None
+        self.json_keys = json_keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -77,7 +79,8 @@ class Restoring(StatefulProcessor):
         for seq, chunk, final in ready:
             if seq >= next_:
                 here.setdefault(seq, (chunk, final))
-        stream = self.kind.load(self.lookup, held) if held else self.kind(self.lookup)
+        kind = JSONStream if self.json_keys and re.search(self.json_keys, key[0] or "") else self.kind
+        stream = kind.load(self.lookup, held) if held else kind(self.lookup)
         out, ended = [], False
         while not ended and next_ in here:
             chunk, ended = here.pop(next_)
@@ -118,13 +121,13 @@ class Restoring(StatefulProcessor):
         pass
 
 
-def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000, idle: int | None = 3600, finished: int = 3600) -> DataFrame:
+def restore_stream(chunks: DataFrame, vault: DataFrame, mode: str = "text", vault_of: str = "", max_mappings: int = 1_000_000, idle: int | None = 3600, finished: int = 3600, json_keys: str | None = None) -> DataFrame:
     """``chunks`` restored by one vault (exact matching); ``mode`` json decodes string values of serialized JSON. Times in seconds.
 
-    Timers keep a query running; ``idle`` None is for one that ends with its input (``availableNow``): there nothing is flushed and marks stay.
+    Streams whose stream_id matches ``json_keys`` are JSON whatever the mode. Timers keep a query running; ``idle`` None is for one that ends with its input (``availableNow``): there nothing is flushed and marks stay.
     """
     with_rocksdb(chunks.sparkSession)
-    processor = Restoring(_shared(chunks, vault, vault_of, max_mappings), mode, idle, finished)
+    processor = Restoring(_shared(chunks, vault, vault_of, max_mappings), mode, idle, finished, json_keys)
     return chunks.groupBy("stream_id", "block").transformWithStateInPandas(processor, OUTPUT, "append", "processingTime" if idle else "none")
 
 

@@ -3,7 +3,10 @@
 import json
 import time
 
+import pytest
+
 from nymora.sources import vault as vaults
+from nymora.streaming import events
 from nymora.streaming import restore as streams
 
 LONG = "stream_id string, block int, seq long, chunk string, final boolean"
@@ -48,3 +51,38 @@ def test_state_is_flushed_by_timers_and_expires(spark, tmp_path):
         until(lambda: state_rows(query) == 0)
     finally:
         query.stop()
+
+
+def events_of(style):
+    """(stream_id, n, event): two streams of each style, interleaved, with text and serialized JSON."""
+    quoted = json.dumps({"to": "⟨EMAIL_12⟩", "⟨EMAIL_1⟩": 1}, ensure_ascii=True)
+    text = "to ⟨EMAIL_1⟩ and ⟨EMAIL_12⟩"
+    cut = lambda t: [t[i : i + 4] for i in range(0, len(t), 4)]
+    if style == "blocks":
+        parts = [{"type": "message_start"}, *({"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": c}} for c in cut(text)), *({"type": "content_block_delta", "index": 1, "delta": {"type": "input_json_delta", "partial_json": c}} for c in cut(quoted)),
+                 {"type": "content_block_stop", "index": 0}, {"type": "content_block_stop", "index": 1}, {"type": "content_block_stop", "index": 7}]
+    elif style == "chat":
+        parts = [*({"choices": [{"index": 0, "delta": {"content": c}}, {"index": 1, "delta": {"refusal": c}}]} for c in cut(text)), *({"choices": [{"index": 0, "delta": {"tool_calls": [{"index": 2, "function": {"arguments": c}}]}}]} for c in cut(quoted)),
+                 {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}, {"index": 1, "delta": {}, "finish_reason": "stop"}]}]
+    else:
+        parts = [*({"type": "response.output_text.delta", "item_id": "i", "content_index": 0, "delta": c} for c in cut(text)), {"type": "response.output_text.done", "item_id": "i", "content_index": 0},
+                 *({"type": "response.function_call_arguments.delta", "item_id": "j", "delta": c} for c in cut(quoted)), {"type": "response.function_call_arguments.done", "item_id": "j"}]
+    return [(s, n, json.dumps(e)) for n, e in enumerate(parts) for s in ("s1", "s2")]
+
+
+@pytest.mark.parametrize("style", events.STYLES)
+def test_event_streams_give_what_batches_give(spark, tmp_path, style):
+    schema, folder, vault = "stream_id string, n long, event string", str(tmp_path / "in"), vault_of(spark)
+    every = events_of(style)
+    half = len(every) // 2
+    for rows in (every[:half], every[half:]):
+        added(spark, folder, rows, schema)
+    whole = {r.key: r.text for r in events.restored(spark.createDataFrame(every, schema), vault, style).collect()}
+    assert len(whole) >= 4 and all("ann@x.org" in t and "⟨EMAIL_12⟩" not in t for t in whole.values())
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(folder)
+    query = events.restored_stream(source, vault, style, idle=None).writeStream.format("memory").queryName(f"events_{style}").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = {}
+    for r in spark.table(f"events_{style}").orderBy("stream_id", "seq").collect():
+        got[r.stream_id] = got.get(r.stream_id, "") + r.text
+    assert got == whole
