@@ -241,6 +241,14 @@ def vault_mint(spark, sf_dir):
     return _masked(spark, sf_dir)[1].select("ord", "type", "original", "surrogate")
 
 
+def vault_tokens(spark, sf_dir):
+    """Customers' names as signed and encrypted tokens and back; a token of another customer's length has another size."""
+    key = b"cw_0x689RpI-jtRR7oE8h_eQsKImvJapLeSbXpwF4e4="
+    sealed = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", vaults.fernet_encrypted(F.col("c_name"), key).alias("token"))
+    whole, cut = (vaults.fernet_decrypted(t, key) for t in (F.col("token"), F.concat(F.lit("gBBB"), F.substring("token", 5, 1000))))
+    return sealed.select("c_custkey", F.length("token").cast("long").alias("n_token"), whole.cast("string").alias("c_name"), cut.isNull().alias("forged_refused"))
+
+
 def vault_uniqueness(spark, sf_dir):
     _, vault = _masked(spark, sf_dir, ("email", "ip"))
     return vault.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("originals"), F.count_distinct("surrogate").alias("surrogates"))
@@ -387,7 +395,7 @@ QUERIES = (
     realistic_surrogates, span_overlap_resolution, vault_mint, vault_uniqueness, mask_documents, mask_documents_all, restore_exact_roundtrip,
     restore_tolerant_roundtrip, audit_leaked_originals, audit_new_pii, url_query_params, credential_url_flags, mask_conversations, mask_chat_messages,
     mask_event_props, restore_chunks, evaluation_scores, evaluation_false_alarms, least_keys_from_customer, private_keys_from_keys, http_archives_from_keys,
-    names_from_customer, span_interval_join, mask_null_keys, restore_realistic_joined, restore_json_joined, replay_conversations,
+    names_from_customer, span_interval_join, mask_null_keys, restore_realistic_joined, restore_json_joined, replay_conversations, vault_tokens,
 )
 
 
@@ -503,6 +511,9 @@ SELECT l_orderkey, x.t AS type, x.a AS start, x.b AS "end" FROM last
     "span_interval_join": LINE_SPANS + """
 SELECT a.l_orderkey, count(*) AS n_pairs, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS n_shared
 FROM spans a JOIN spans b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0 AND a.start < b."end" AND b.start < a."end" GROUP BY a.l_orderkey
+""",
+    "vault_tokens": """
+SELECT c_custkey, CAST(4 * ceil((57 + 16 * (length(c_name) // 16 + 1)) / 3) AS BIGINT) AS n_token, c_name, true AS forged_refused FROM customer
 """,
     "replay_conversations": """
 SELECT conv_id, turn, md5('⟨TURN_' || turn || '⟩ ' || text) AS replay_md5

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -162,6 +163,70 @@ def generate_key() -> bytes:
     return os.urandom(32)
 
 
+# --- Fernet tokens: version 0x80, time, initialisation vector, AES-128 in CBC mode, HMAC-SHA256, all in URL-safe base 64 ----------------
+
+
+def _keys(key: bytes) -> tuple[bytes, bytes]:
+    """(signing, encryption) key of a Fernet key, which is 32 bytes in URL-safe base 64."""
+    try:
+        raw = base64.urlsafe_b64decode(key)
+    except ValueError:
+        raw = b""
+    if len(raw) != 32:
+        raise VaultError("a Fernet key is 32 bytes in URL-safe base 64")
+    return raw[:16], raw[16:]
+
+
+def fernet_key() -> bytes:
+    return base64.urlsafe_b64encode(os.urandom(32))
+
+
+def _hmac(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 by RFC 2104, for keys of up to 64 bytes."""
+    inner, outer = (bytes(b ^ mask for b in key.ljust(64, b"\0")) for mask in (0x36, 0x5C))
+    return F.unhex(F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256))
+
+
+def _urlsafe(data: Column) -> Column:
+    return F.translate(F.base64(data), "+/\r\n", "-_")
+
+
+def fernet_encrypted(column: Column, key: bytes, seconds: Column | None = None, vector: Column | None = None) -> Column:
+    """A token for each value (string or binary), in the JVM; now and random vectors, unless given."""
+    sign, encrypt = _keys(key)
+    seconds = F.unix_timestamp() if seconds is None else seconds
+    arguments = [column.cast("binary"), F.lit(encrypt), F.lit("CBC"), F.lit("PKCS")]
+    sealed = F.aes_encrypt(*arguments, *([] if vector is None else [vector]))  # the vector, then the ciphertext
+    message = F.concat(F.lit(b"\x80"), F.unhex(F.lpad(F.hex(seconds.cast("long")), 16, "0")), sealed)
+    return _urlsafe(F.concat(message, _hmac(sign, message)))
+
+
+def fernet_decrypted(token: Column, key: bytes) -> Column:
+    """The binary value of each token; null for one that isn't well-formed, or wasn't signed with this key."""
+    sign, encrypt = _keys(key)
+    data = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64"))
+    size = F.octet_length(data)
+    message, tag = F.substring(data, F.lit(1), size - 32), F.substring(data, size - 31, F.lit(32))
+    sealed = F.substring(data, F.lit(10), size - 41)
+    sound = (size >= 73) & (F.substring(data, 1, 1) == F.lit(b"\x80")) & (tag == _hmac(sign, message))
+    return F.when(sound, F.try_aes_decrypt(sealed, F.lit(encrypt), F.lit("CBC"), F.lit("PKCS")))
+
+
+def save_encrypted(vault: DataFrame, path: str, key: bytes, vault_id: str = "") -> None:
+    """One vault's JSON as one token in a file."""
+    text = vault.sparkSession.createDataFrame([(to_json(vault, vault_id),)], "t string")
+    write_text(path, text.select(fernet_encrypted(F.col("t"), key)).head()[0])
+
+
+def load_encrypted(spark: SparkSession, path: str, key: bytes, vault_id: str = "") -> DataFrame:
+    with open(path, encoding="ascii") as f:
+        token = spark.createDataFrame([(f.read().strip(),)], "t string")
+    plain = token.select(fernet_decrypted(F.col("t"), key)).head()[0]
+    if plain is None:
+        raise VaultError("no token of this key")
+    return from_json(spark, bytes(plain).decode(), vault_id)
+
+
 def find(vault: DataFrame, surrogate: str | None = None, original: str | None = None) -> DataFrame:
     """The mappings with this surrogate or original."""
     out = vault
