@@ -13,10 +13,12 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StringType
 
 from ..functions import fixed
 from ..functions.surrogates import Placeholders
+from ..sources.store import VaultStore, grow
 from ..sources.vault import VaultError
 from . import restore as restoring
 from .detect import entities
@@ -110,6 +112,12 @@ def mask(
     verify: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(``df`` with masked and entities, the vault with what was minted)."""
+    masked, new = masked_and_new(df, vault, text, ord, vault_id, field, detectors, names, generator, verify)
+    return masked, vault.unionByName(new)
+
+
+def masked_and_new(df: DataFrame, vault: DataFrame, text: str = "text", ord: str = "ord", vault_id: str | None = None, field: str | None = None, detectors: Iterable[str] = fixed.DEFAULT_DETECTORS, names: Iterable = (), generator=None, verify: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with masked and entities, the mappings that were minted)."""
     generator = generator or Placeholders()
     found = stored(prepared(df, text, ord, vault_id).withColumn("entities", entities("_text", field, detectors, names)))
     each = found.select("_vault", "_ord", F.explode("entities").alias("e")).select("_vault", "_ord", "e.*")
@@ -125,7 +133,21 @@ def mask(
         raise VaultError("a value that was found has no surrogate, or several")
     if verify:
         _verify(masked, grown, generator)
-    return masked.drop("_vault", "_ord", "_text", "_changes", "_row"), grown
+    return masked.drop("_vault", "_ord", "_text", "_changes", "_row"), new
+
+
+def mask_into(store: VaultStore, df: DataFrame, tag: str = "", **options) -> DataFrame:
+    """``df`` masked with the store's vault, which other writers may grow at the same time; ``options`` as in ``mask``."""
+    return grow(store, lambda vault: masked_and_new(df, vault, **options), tag)
+
+
+def mask_stream(rows: DataFrame, store: VaultStore, out: str, name: str, **options) -> DataStreamWriter:
+    """A writer that masks each micro-batch into ``out``/batch=<id>; a batch that runs again, after a failure, finds its mappings and replaces its files."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        mask_into(store, stored(df), f"{name}/{number}", **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.queryName(name).foreachBatch(batch)
 
 
 def _verify(masked: DataFrame, grown: DataFrame, generator) -> None:
