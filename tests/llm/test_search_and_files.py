@@ -11,12 +11,15 @@ import pyarrow as pa
 ODD = [None, "", "  a  b\n\nc é\t", "<|endoftext|> x <|ENDOFTEXT|>", "don't STOP\nnow 12 3 a.b,,c!!! (x). x~y ~ CAFE\u0301. é.", "日本語 text 🔑.", "w" * 200 + " " + "q,w.e" * 50]
 
 
+TOKENIZER = Tokenizer.from_file(default_path())
+
+
 def plain_ids(text):
-    return [*Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_kept_pieces_give_the_tokenizers_ids(spark, tables):
-    texts = ODD + [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts = ODD + [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").orderBy("doc_id").collect()]
     tok = Tokenizer.from_file(default_path())
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     for _ in range(2):
@@ -128,7 +131,7 @@ def test_blocks_round_trip():
 
 
 def test_token_file_digest(spark, tables):
-    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").limit(80)
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     rows = sorted((r.doc_id, r.text) for r in docs.union(odd).collect())
     got = {r.doc_id: tuple(r)[1:] for r in token_file.round_trip(docs.union(odd)).collect()}
@@ -138,3 +141,28 @@ def test_token_file_digest(spark, tables):
         assert got[doc] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_file.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_packing_of_a_whole_table(spark, tables):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    docs, sequences = {}, {}
+    for r in queries.op6_packing(spark, tables).collect():
+        docs.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert docs.keys() == texts.keys()
+    for doc, own in docs.items():
+        ids = np.array(plain_ids(texts[doc]), "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):  # each id in one piece
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    used = 0
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+        used += at
+    assert used >= 0.9 * 4096 * (len(sequences) - 1)

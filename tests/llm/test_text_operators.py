@@ -84,35 +84,46 @@ def test_language_of_odd_texts(spark):
 
 
 def brute_lines(docs, min_docs=10, min_tokens=3, depth=3, similarity=0.6, long_docs=3, long_tokens=50):
+    """The rule of ``line_dedup`` in plain Python, for texts that hold a template of few texts once each."""
     mask = lambda line: " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split(" "))
-    lines = [(d, i, mask(x)) for d, t in docs for i, x in enumerate(t.split("\n"))]
+    rows = {(d, t): [mask(x) for x in t.split("\n")] for d, t in docs}
     leaves = defaultdict(list)
-    for d, i, x in lines:
-        leaves[len(x.split(" ")), tuple(x.split(" ")[:depth])].append(x)
+    for own in rows.values():
+        for x in own:
+            leaves[len(x.split(" ")), tuple(x.split(" ")[:depth])].append(x)
     template = {}
     for (size, _), own in leaves.items():
         fields = []
         if size >= min_tokens and len(own) >= min_docs and len(set(own)) > 1:
-            for p in range(size):
-                if 2 * Counter(x.split(" ")[p] for x in own).most_common(1)[0][1] < len(own):
-                    fields.append(p)
+            fields = [p for p in range(size) if 2 * Counter(x.split(" ")[p] for x in own).most_common(1)[0][1] < len(own)]
         good = fields and len(fields) <= size * (1 - similarity)
         for x in own:
             template[x] = " ".join("<*>" if good and p in fields else t for p, t in enumerate(x.split(" ")))
-    held = defaultdict(dict)
-    text = {(d, i): x for d, i, x in lines}
-    for d, i, x in lines:
-        if len(x.split(" ")) >= min_tokens:
-            a, b = text.get((d, i - 1), ""), text.get((d, i + 1), "")
-            held[template[x]].setdefault(d, (a, b))
-    enough = lambda t: long_docs if len(t.split(" ")) >= long_tokens else min_docs
-    bad = {t for t, by in held.items() if len(by) >= enough(t) and 2 * max(len({a for a, _ in by.values()}), len({b for _, b in by.values()})) > len(by)}
-    out = {}
-    for d, t in docs:
-        own = t.split("\n")
-        gone = {i for i, x in enumerate(own) if len(x.split(" ")) >= min_tokens and template[mask(x)] in bad}
-        out[d] = t if len(gone) >= 3 and 2 * len(gone) > len(own) else "\n".join(x for i, x in enumerate(own) if i not in gone)
-    return out
+    held = defaultdict(dict)  # template -> text -> its lines; copies of a text count once
+    for (_, t), own in rows.items():
+        for x in own:
+            if len(x.split(" ")) >= min_tokens:
+                held[template[x]][t] = own
+    gone = {t for t, by in held.items() if len(by) >= min_docs}
+    few = {t for t, by in held.items() if len(t.split(" ")) >= long_tokens and long_docs <= len(by) < min_docs}
+    while True:  # recurring lines are no surroundings, so each round may find more
+        more = set()
+        for t in few:
+            before, after = set(), set()
+            for own in held[t].values():
+                at = next(i for i, x in enumerate(own) if template[x] == t)
+                up = next((x for x in own[:at][::-1] if template[x] not in gone), None)
+                down = next((x for x in own[at + 1 :] if template[x] not in gone), None)
+                before.add(("line", up) if up is not None else ("edge", down))
+                after.add(("line", down) if down is not None else ("edge", up))
+            n = max(len(before), len(after))
+            if n >= long_docs or 2 * n > len(held[t]):
+                more.add(t)
+        if not more:
+            break
+        gone |= more
+        few -= more
+    return {d: "\n".join(x for x in t.split("\n") if len(x.split(" ")) < min_tokens or template[mask(x)] not in gone) for d, t in docs}
 
 
 def test_recurring_templates_go_and_copies_stay(spark):
