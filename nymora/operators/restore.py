@@ -141,7 +141,10 @@ def restore_joined(df: DataFrame, vault: DataFrame, text: str = "masked", vault_
             out.append("".join([*parts, t[at:]]))
         return pa.array(out, pa.string())
 
-    seen = rows.select("_key", "_n", F.explode(look(F.col(text))).alias("h")).select("_key", "_n", "h.*")
+    source = F.col(text)
+    if mode == "text" and not tolerant and 0 < len(found.firsts) <= 64:  # texts without a first character of any surrogate stay in the JVM
+        source = F.when(source.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in found.firsts) + "]"), source)
+    seen = rows.select("_key", "_n", F.explode(look(source)).alias("h")).select("_key", "_n", "h.*")
     hit = seen.join(table, ["_key", "loose", "piece"]).groupBy("_n").agg(F.collect_list(F.struct("start", "end", "loose", "original")).alias("_hits"))
     joined = rows.join(hit, "_n", "left")
     changed = F.col("_hits").isNotNull()
