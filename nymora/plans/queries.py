@@ -511,6 +511,11 @@ SELECT l_orderkey, x.t AS type, x.a AS start, x.b AS "end" FROM last
     "span_interval_join": LINE_SPANS + """
 SELECT a.l_orderkey, count(*) AS n_pairs, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS n_shared
 FROM spans a JOIN spans b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 0 AND a.start < b."end" AND b.start < a."end" GROUP BY a.l_orderkey
+""",
+    "mask_chat_messages": r"""
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn,
+       '{"role":' || to_json(role) || ',"content":' || to_json(text || ' ⟨IPV4_1⟩') || ',"tool_calls":[{"function":{"arguments":"{\"host\":\"⟨IPV4_2⟩\",\"n\":1.5}"}}]}' AS masked
+FROM conversations
 """,
     "vault_tokens": """
 SELECT c_custkey, CAST(4 * ceil((57 + 16 * (length(c_name) // 16 + 1)) / 3) AS BIGINT) AS n_token, c_name, true AS forged_refused FROM customer
