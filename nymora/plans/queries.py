@@ -13,7 +13,7 @@ from ..functions.scan import KnownNames
 from ..functions.surrogates import Placeholders, Realistic, luhn_digit
 from ..operators import audit, detect, documents, evaluate, mask, names, replay, restore, spans
 from ..operators.tables import shared_folder, stored
-from ..sources import corpus, tables
+from ..sources import tables
 from ..sources import vault as vaults
 from ..streaming import restore as streams
 
@@ -375,17 +375,30 @@ def restore_chunks(spark, sf_dir):
     return back.select(F.col("stream_id").cast("long").alias("doc_id"), F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
 
 
+def _labelled(spark, sf_dir):
+    """(id, category, text, and the label's type, start, end or nulls): mailboxes of which half are labelled, addresses, versions without a label, and numbers
+    that are labelled but of no valid area."""
+    k = F.col("c_custkey")
+    number, last = k.cast("string"), (F.pmod(k, F.lit(250)) + 1).cast("string")
+    text = F.when(k % 4 == 0, F.concat(F.lit("mail u"), number, F.lit("@example.org now"))).when(k % 4 == 1, F.concat(F.lit("ip 198.51.100."), last, F.lit(" up"))).when(k % 4 == 2, F.concat(F.lit("release v1.2.3."), last)).otherwise("ssn 900-12-3456 given")
+    kind = F.when(k % 8 == 4, "EMAIL").when(k % 4 == 1, "IPV4").when(k % 4 == 3, "SSN")
+    start = F.when(k % 8 == 4, 5).when(k % 4 == 1, 3).when(k % 4 == 3, 4)
+    size = F.when(k % 8 == 4, F.length(number) + 13).when(k % 4 == 1, F.length(last) + 11).when(k % 4 == 3, 11)
+    return _table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("category"), text.alias("text"), kind.alias("type"), start.alias("start"), (start + size).alias("end"))
+
+
+def _alarms(docs):
+    return docs.select("id", F.explode(detect.entities("text")).alias("e")).select("id", "e.type", "e.start", "e.end")
+
+
 def evaluation_scores(spark, sf_dir):
-    gold_docs = corpus.generate(spark)
-    found = gold_docs.select("id", F.explode(detect.entities("text", detectors=detect.checked(("email", "phone", "card", "iban", "ssn", "ip", "url_credential", "secret", "dob", "address")))).alias("e"))
-    gold = gold_docs.select("id", F.explode("entities").alias("e"))
-    return evaluate.scores(*(df.select("id", "e.type", "e.start", "e.end") for df in (found, gold)))
+    docs = _labelled(spark, sf_dir)
+    return evaluate.scores(_alarms(docs), docs.where("type is not null").select("id", "type", "start", "end"))
 
 
 def evaluation_false_alarms(spark, sf_dir):
-    docs = corpus.generate(spark).where(F.size("entities") == 0)
-    found = docs.select("id", F.explode(detect.entities("text")).alias("e"))
-    return evaluate.false_alarms(found, docs)
+    docs = _labelled(spark, sf_dir).where("type is null")
+    return evaluate.false_alarms(_alarms(docs), docs)
 
 
 QUERIES = (
@@ -516,6 +529,22 @@ FROM spans a JOIN spans b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2
 SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn,
        '{"role":' || to_json(role) || ',"content":' || to_json(text || ' ⟨IPV4_1⟩') || ',"tool_calls":[{"function":{"arguments":"{\"host\":\"⟨IPV4_2⟩\",\"n\":1.5}"}}]}' AS masked
 FROM conversations
+""",
+    "evaluation_scores": """
+WITH made AS (
+  SELECT CASE c_custkey % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'IPV4' WHEN 3 THEN 'SSN' END AS type, c_custkey % 8 = 4 OR c_custkey % 4 = 1 AS tp, c_custkey % 8 = 0 AS fp, c_custkey % 4 = 3 AS fn FROM customer WHERE c_custkey % 4 <> 2
+), counted AS (
+  SELECT coalesce(type, 'TOTAL') AS type, count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn FROM made GROUP BY ROLLUP (type)
+), rated AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM counted
+)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM rated
+""",
+    "evaluation_false_alarms": """
+WITH docs AS (
+  SELECT c_mktsegment AS category, CASE WHEN c_custkey % 8 = 0 THEN 3 ELSE 2 END AS words, CASE WHEN c_custkey % 8 = 0 THEN 1 ELSE 0 END AS alarms FROM customer WHERE c_custkey % 8 = 0 OR c_custkey % 4 = 2
+)
+SELECT category, CAST(sum(words) AS BIGINT) AS words, CAST(sum(alarms) AS BIGINT) AS alarms, 1000 * sum(alarms) / sum(words) AS per_1000_words FROM docs GROUP BY category
 """,
     "vault_tokens": """
 SELECT c_custkey, CAST(4 * ceil((57 + 16 * (length(c_name) // 16 + 1)) / 3) AS BIGINT) AS n_token, c_name, true AS forged_refused FROM customer
