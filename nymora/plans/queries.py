@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import native
 from ..functions.scan import KnownNames
-from ..functions.surrogates import Placeholders, Realistic, luhn_digit
+from ..functions.surrogates import Realistic, luhn_digit
 from ..operators import audit, detect, documents, evaluate, mask, names, replay, restore, spans
 from ..operators.tables import shared_folder, stored
 from ..sources import tables
