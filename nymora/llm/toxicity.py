@@ -4,8 +4,8 @@ A document's tokens are decoded before they are judged. A token whose spelling m
 signs, letters repeated three times or more, letters parted by signs, or letters written apart) becomes a lattice: every character
 with its possible readings, every repetition as one or two letters, signs between letters as nothing or as the end of a word; letters
 in a row are joined, and after each a word may end. Viterbi's algorithm finds the reading that a character language model of order
-``ORDER`` finds likeliest, with a cost for each change, over all states and for tokens of any length. Other tokens have one
-reading, themselves in lower case. Stretches of more than ``STRETCH`` different digits and signs in a row are numbers, not letters.
+``ORDER`` finds likeliest, with a cost for each change, over all states and for tokens and runs of signs of any length. Other tokens have one
+reading, themselves in lower case.
 
 The language model counts character sequences over the words of all documents. Its alphabet is what the channel can restore: the
 letters a to z (with or without accents), one class for every other letter, and the edge of a word, so the counts fill a table of
@@ -43,7 +43,9 @@ STATES = CLASSES ** (ORDER - 1)
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
 MARKS = "".join(READINGS)
 #: A word of one letter costs LONE more: letters written apart would else stay what they are.
-CHANGE, SKIP, BREAK, LONE, STRETCH = 1.5, 0.5, 1.5, 4.0, 8
+CHANGE, SKIP, BREAK, LONE = 1.5, 0.5, 1.5, 4.0
+#: More states than MANY are advanced as arrays; every SETTLE places, what led to all states alike is settled.
+MANY, SETTLE = 64, 256
 TOKEN = re.compile(r"\S+")
 
 DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{re.escape(MARKS)}]|.*([^\W\d_])\1\1|.*[^\W\d_][-._*'][^\W\d_])", re.S)
@@ -71,9 +73,17 @@ class LetterModel:
         """counts: of each sequence of ORDER classes, as numbers to the base CLASSES."""
         self.counts = np.asarray(counts, "int64")
         self._cost: list[float] | None = None
+        self._table: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"counts": self.counts, "_cost": None}
+        return {"counts": self.counts, "_cost": None, "_table": None}
+
+    @property
+    def table(self) -> np.ndarray:
+        """``cost`` as an array."""
+        if self._table is None:
+            self._table = np.array(self.cost)
+        return self._table
 
     @property
     def cost(self) -> list[float]:
@@ -100,24 +110,16 @@ def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
             end += 1
         spots.append((token[at], end - at))
         at = end
-    letters_at = [c.isalpha() for c, _ in spots]
-    stretch, at = [0] * len(spots), 0
-    while at < len(spots):
-        end = at
-        while end < len(spots) and not letters_at[end]:
-            end += 1
-        stretch[at:end] = [end - at] * (end - at)
-        at = end + 1
     out = []
-    for i, (c, run) in enumerate(spots):
+    for c, run in spots:
         options: dict[str, float] = {}
-        if letters_at[i]:
+        if c.isalpha():
             if run == 1:
                 options[c] = 0.0
             else:
                 options = {c: CHANGE, c * 2: 0.0 if run == 2 else CHANGE}
         else:
-            for letter in READINGS.get(c, "") if stretch[i] <= STRETCH else "":
+            for letter in READINGS.get(c, ""):
                 options[letter] = CHANGE
                 if run > 1:
                     options[letter * 2] = CHANGE
@@ -132,47 +134,87 @@ def lattice(token: str, apart: bool = False) -> list[list[tuple[str, float]]]:
 def viterbi(places: list[list[tuple[str, float]]], model: LetterModel) -> str:
     """The cheapest reading; the state is the last ORDER - 1 letters. A word's end is judged as well.
 
-    Where one state is left, what led to it is settled, so long tokens need little memory.
+    Where all states were reached from one, what led to it is settled, so long tokens need little memory.
     """
-    cost = model.cost
     coded: dict[str, list[int]] = {}
     settled: list[str] = []
     state: dict[int, float] = {0: 0.0}
     trail: list[dict[int, tuple[int, str]]] = []
 
-    def back(at: int) -> list[str]:
+    def back(at: int, steps: list[dict[int, tuple[int, str]]]) -> list[str]:
         out = []
-        for step in reversed(trail):
+        for step in reversed(steps):
             at, letters = step[at]
             out.append(letters)
         return out[::-1]
 
     for options in places:
-        step: dict[int, float] = {}
-        came: dict[int, tuple[int, str]] = {}
-        for letters, price in options:
-            codes = coded.get(letters)
-            if codes is None:
-                codes = coded[letters] = [0 if c == " " else letter_class(c) for c in letters]
-            for past, total in state.items():
-                total, now = total + price, past
-                for c in codes:
-                    if c == 0:
-                        if now == 0:  # no word to end
-                            break
-                        total, now = total + cost[now * CLASSES] + (LONE if now < CLASSES else 0.0), 0
-                    else:
-                        total += cost[now * CLASSES + c]
-                        now = (now * CLASSES + c) % STATES
-                if total < step.get(now, math.inf):
-                    step[now], came[now] = total, (past, letters)
-        state = step
+        for letters, _ in options:
+            if letters not in coded:
+                coded[letters] = [0 if c == " " else letter_class(c) for c in letters]
+        state, came = (_advanced_many if len(state) > MANY else _advanced)(state, options, coded, model)
         trail.append(came)
-        if len(state) == 1:
-            settled += back(next(iter(state)))
-            trail = []
+        if len(state) == 1 or len(trail) % SETTLE == 0:
+            alive, known = set(state), len(trail)
+            while len(alive) > 1:
+                known -= 1
+                alive = {trail[known][at][0] for at in alive}
+            settled += back(alive.pop(), trail[:known])
+            del trail[:known]
+    cost = model.cost
     last = min(state, key=lambda s: state[s] + (cost[s * CLASSES] + (LONE if s < CLASSES else 0.0) if s else 0.0))
-    return "".join([*settled, *back(last)])
+    return "".join([*settled, *back(last, trail)])
+
+
+def _advanced(state: dict[int, float], options: list[tuple[str, float]], coded: dict[str, list[int]], model: LetterModel) -> tuple[dict[int, float], dict[int, tuple[int, str]]]:
+    """The states after one place with their costs, and from which state and by which letters each was reached."""
+    cost = model.cost
+    step: dict[int, float] = {}
+    came: dict[int, tuple[int, str]] = {}
+    for letters, price in options:
+        codes = coded[letters]
+        for past, total in state.items():
+            total, now = total + price, past
+            for c in codes:
+                if c == 0:
+                    if now == 0:  # no word to end
+                        break
+                    total, now = total + cost[now * CLASSES] + (LONE if now < CLASSES else 0.0), 0
+                else:
+                    total += cost[now * CLASSES + c]
+                    now = (now * CLASSES + c) % STATES
+            if total < step.get(now, math.inf):
+                step[now], came[now] = total, (past, letters)
+    return step, came
+
+
+def _advanced_many(state: dict[int, float], options: list[tuple[str, float]], coded: dict[str, list[int]], model: LetterModel) -> tuple[dict[int, float], dict[int, tuple[int, str]]]:
+    """``_advanced`` for all states at once: runs of signs, each of which may be one of several letters, have thousands."""
+    table = model.table
+    past, so_far = np.fromiter(state, "int64", len(state)), np.fromiter(state.values(), "float64", len(state))
+    nows, totals = [], []
+    for letters, price in options:
+        now, total = past, so_far + price
+        for c in coded[letters]:
+            if c == 0:
+                total = np.where(now == 0, total, total + table[now * CLASSES] + np.where(now < CLASSES, LONE, 0.0))
+                now = np.zeros_like(now)
+            else:
+                key = now * CLASSES + c
+                total, now = total + table[key], key % STATES
+        nows.append(now)
+        totals.append(total)
+    now, total = np.concatenate(nows), np.concatenate(totals)
+    least = np.full(STATES, math.inf)
+    np.minimum.at(least, now, total)
+    hits = np.flatnonzero(total == least[now])[::-1]
+    first = np.full(STATES, -1)
+    first[now[hits]] = hits  # the last to be set, the first of equal ones, stays
+    some = np.flatnonzero(first >= 0)
+    option, source = np.divmod(first[some], len(past))
+    reached = some.tolist()
+    came = dict(zip(reached, zip(past[source].tolist(), (options[i][0] for i in option.tolist()), strict=True), strict=True))
+    return dict(zip(reached, least[some].tolist(), strict=True)), came
 
 
 class Restorer:

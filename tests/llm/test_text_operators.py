@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -347,6 +348,30 @@ def test_viterbi_is_the_cheapest_of_all_readings():
         assert abs(by[toxicity.viterbi(places, model)] - min(by.values())) < 1e-9, token
 
 
+def test_many_states_at_once_are_the_same(monkeypatch):
+    """One by one, as arrays, and settled often or never: the same costs, also in runs of signs of any length."""
+    rng, model = random.Random(5), letters_of(WORDS)
+    for k in (1, 3, 9, 40, 300):
+        token = "".join(rng.choices("0123456789$@!idto", k=k)) + "".join(rng.choices("0123456789$@!", k=k))
+        places, found = toxicity.lattice(token, k == 9), []
+        for many, settle in ((0, 256), (0, 2), (1 << 30, 7), (64, 1 << 30)):
+            monkeypatch.setattr(toxicity, "MANY", many)
+            monkeypatch.setattr(toxicity, "SETTLE", settle)
+            reading = toxicity.viterbi(places, model)
+            found.append(reading)
+        assert len(set(found)) == 1, token
+
+
+def test_words_in_long_runs_of_signs_are_restored():
+    restore = toxicity.Restorer(letters_of(WORDS))
+    assert "idiot" in restore.words("you-1.d.1.0.+.1.d.1.0.t")
+    assert {"idiot", "good"} <= restore.words("a-1d10+.900d")
+    assert "stupid" in restore.words("x-$+.|_|-$.7.u.p.1.d")
+    began = time.perf_counter()
+    assert restore.words("a" + "0123456789" * 500 + "b")
+    assert time.perf_counter() - began < 60
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
