@@ -364,9 +364,8 @@ def test_many_states_at_once_are_the_same(monkeypatch):
 
 def test_words_in_long_runs_of_signs_are_restored():
     restore = toxicity.Restorer(letters_of(WORDS))
-    assert "idiot" in restore.words("you-1.d.1.0.+.1.d.1.0.t")
-    assert {"idiot", "good"} <= restore.words("a-1d10+.900d")
-    assert "stupid" in restore.words("x-$+.|_|-$.7.u.p.1.d")
+    for token, word in (("id1._.0_._7", "idiot"), ("p@7h37-1-_-_-c", "pathetic"), ("cl-_-*-.-0*_-wn", "clown")):
+        assert max(map(len, re.findall(r"[\W\d_]+", token))) > 8 and word in restore.words(token), token
     began = time.perf_counter()
     assert restore.words("a" + "0123456789" * 500 + "b")
     assert time.perf_counter() - began < 60
