@@ -132,17 +132,18 @@ def decode_block(block: bytes, table: Table, first: int = 0, last: int | None =
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, block_ids: int = 1 << 19, text: str = "text", doc_id: str = "doc_id") -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, block_ids: int = 1 << 19, text: str = "text", doc_id: str = "doc_id", part_bytes: int = 256 << 20) -> None:
     """Write ``docs`` to ``path``: blocks/ and table/ (the counts of ids).
 
-    Texts are dealt into ranges of doc_id and encoded once; the ids wait in a spool of blocks (compressed, 16 bits each where
+    Texts are dealt into ranges of doc_id, of about ``part_bytes`` of text at most (their place in the table parts equal rows), and encoded once; the ids wait in a spool of blocks (compressed, 16 bits each where
     they fit) until all have been counted, and are coded block by block from there. The count table has as many rows as
     the vocabulary at most.
     """
     tokenizer_path = tokenizer_path or default_path()
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("_tie"), F.col(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("_tie"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"))
 
     def spooled(batches):
         from pyspark import TaskContext
@@ -166,7 +167,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, block_i
         if held:
             yield flush()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie"), F.col("_row")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     spool = written(dealt.select("doc_id", "text").mapInArrow(spooled, BLOCKS), "spool")
 

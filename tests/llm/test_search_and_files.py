@@ -143,6 +143,26 @@ def test_token_file_digest(spark, tables):
     assert token_file.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_token_file_parts_by_bytes(spark, tmp_path):
+    """More text makes more parts; equal rows, of a null id too, are parted like others, and a very long text is one of its own."""
+    rows = [(None, "the same words again")] * 300 + [(7, "seven")] * 50 + [(8, "a long text " * 40_000), (9, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts, digests = {}, {}
+    for size in (1 << 30, 1000):
+        token_file.write(docs, f"{tmp_path}/{size}", part_bytes=size)
+        parts[size] = spark.read.parquet(f"{tmp_path}/{size}/blocks").where("exists(doc_ids, d -> d is null)").select("part").distinct().count()
+        digests[size] = sorted(token_file.digest(spark, f"{tmp_path}/{size}").select("start", "doc_id", "n_tokens", "ids_crc32").collect(), key=lambda r: r.start)
+    assert parts[1000] > parts[1 << 30]
+    want = sorted((d is not None, d or 0, n, c) for d, t in rows for ids in [np.array(plain_ids(t), "<u4")] for n, c in [(len(ids), zlib.crc32(ids.tobytes()))])
+    for got in digests.values():
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
+        assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda d: (d is not None, d or 0))
+
+
 def test_packing_of_a_whole_table(spark, tables):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     docs, sequences = {}, {}
