@@ -15,6 +15,17 @@ def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
     assert df.agg(F.count("id"), F.count_distinct("id"), F.sum("id")).head() == (5000, 5000, 5000 * 4999 // 2)
 
 
+def test_tables_of_many_partitions_are_not_dealt_however_many_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).repartition(2).write.parquet(f"{tmp_path}/t")
+    assert sources.read(spark, f"{tmp_path}/t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sources, "DEALT", 1)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        assert sources.read(spark, f"{tmp_path}/t").rdd.getNumPartitions() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_tables_of_many_files_are_not_shuffled(spark, tmp_path):
     path = str(tmp_path / "t")
     # Each of these files fills a partition of its own, as one costs 4 MB to open and a partition holds 4 MB at least.
