@@ -7,6 +7,7 @@ HDFS and local disks; a store without that needs one writer at a time.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import vault as vaults
 
 
+#: Seconds in which a writer must have written the log entry that it created.
+WAIT_S = 30
+
+
 class Conflict(vaults.VaultError):
     """Other writers were faster, every time."""
 
@@ -33,15 +38,22 @@ class VaultStore:
         if not self._fs.exists(self._at("log")):
             return []
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("log")) if not s.getPath().getName().startswith((".", "_")))
-        out = []
-        for name in names:
+        return [self._entry(name) for name in names]
+
+    def _entry(self, name: str) -> tuple[str, str]:
+        """(folder, tag) of a log entry. One that was created but isn't written yet is waited for: without it a reader would miss mappings."""
+        last = time.monotonic() + WAIT_S
+        while True:
             stream = self._fs.open(self._at(f"log/{name}"))
             try:
-                folder, _, tag = bytes(stream.readAllBytes()).decode().partition("\n")
+                folder, end, tag = bytes(stream.readAllBytes()).decode().partition("\n")
             finally:
                 stream.close()
-            out.append((folder, tag))
-        return out
+            if end:
+                return folder, tag
+            if time.monotonic() > last:
+                raise vaults.VaultError(f"log entry {name} was created but not written; remove it if its writer is gone")
+            time.sleep(0.05)
 
     def read(self) -> tuple[DataFrame, int]:
         """(the vault, its version)."""

@@ -52,3 +52,25 @@ def test_a_batch_that_runs_again_mints_nothing(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.ord: r.masked for r in rows} == {1: "⟨EMAIL_1⟩", 2: "⟨EMAIL_2⟩"} and len(rows) == 2
     assert store.read()[0].agg(F.count_distinct("surrogate")).head()[0] == 2
+
+
+def test_an_entry_that_is_not_written_yet_is_waited_for(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from nymora.sources import store as stores
+
+    store, log = VaultStore(spark, str(tmp_path / "vault")), tmp_path / "vault" / "log"
+    one = spark.createDataFrame([("", 0, "EMAIL", "a@x.org", "⟨EMAIL_1⟩", "email")], vaults.SCHEMA)
+    assert store.commit(one, 0)
+    entry = next(p for p in log.iterdir() if not p.name.startswith("."))
+    written = entry.read_bytes()
+    for p in log.iterdir():  # as between the entry's creation and its writing; the checksum goes too
+        p.unlink()
+    entry.touch()
+    threading.Timer(1, lambda: entry.write_bytes(written)).start()
+    vault, version = store.read()
+    assert version == 1 and vault.count() == 1
+    entry.write_bytes(b"")
+    monkeypatch.setattr(stores, "WAIT_S", 0.2)
+    with pytest.raises(vaults.VaultError, match="not written"):
+        store.read()
