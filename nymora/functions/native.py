@@ -114,7 +114,7 @@ def ipv4_ok(value: Column) -> Column:
 
 def ipv4_spans(text: Column) -> Column:
     found = match_spans(text, r"(?U)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)(?!\.\d)", before=True)
-    label = rf"(?i)(?U){fixed.VERSION_LABEL[:-1]}\z"
+    label = rf"(?i)(?U){fixed.VERSION_LABEL[:-1]}\n?\z"
     return plain(F.filter(found, lambda s: ipv4_ok(s["value"]) & ~F.right(s["before"], F.lit(16)).rlike(label)))
 
 
