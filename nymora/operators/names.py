@@ -54,10 +54,11 @@ def known_names(df: DataFrame, names: DataFrame, text: str = "text", broadcast_r
 
     @F.arrow_udf("array<struct<start:int,end:int,piece:string>>")
     def look(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            low = fold_case(t or "")
-            out.append([{"start": a, "end": b, "piece": low[a:b]} for a, b in shared_map.value.find(low) if whole_words(low, a, b)])
+        low = [fold_case(t or "") for t in texts.to_pylist()]
+        out = [[] for _ in low]
+        for i, a, b in shared_map.value.find_all(low):
+            if whole_words(low[i], a, b):
+                out[i].append({"start": a, "end": b, "piece": low[i][a:b]})
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("piece", pa.string())])))
 
     @F.arrow_udf(ENTITIES)
