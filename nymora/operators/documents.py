@@ -47,6 +47,12 @@ def _rebuild(texts: pa.Array, values: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _whole(text, values):
+    """``text`` with its values; texts in which none changes stay in the JVM."""
+    some = values.isNotNull()
+    return F.when(some, _rebuild(F.when(some, text), F.when(some, values))).otherwise(text)
+
+
 def mask_documents(df: DataFrame, vault: DataFrame, text: str = "text", ord: str = "ord", vault_id: str | None = None, style: str = "values", detectors: Iterable[str] = fixed.DEFAULT_DETECTORS, **options) -> tuple[DataFrame, DataFrame]:
     """(``df`` with masked, the grown vault). A document that can't be read, or with personal data in a key, raises VaultError."""
     key = restoring.key_of(vault_id)
@@ -61,7 +67,7 @@ def mask_documents(df: DataFrame, vault: DataFrame, text: str = "text", ord: str
     masked, grown = masking.mask(rows, vault, "_t", "_at", "_v", "_f", detectors, **options)
     values = masked.where("masked <> _t").groupBy(F.col("_at.o.row").alias("_row")).agg(F.collect_list(F.struct("_at.token", "_at.inner", F.col("masked").alias("value"))).alias("_values"))
     joined = read.withColumn("_row", F.col("_o.row")).join(values, "_row", "left")
-    return joined.withColumn("masked", _rebuild(F.col(text), F.col("_values"))).drop("_v", "_o", "_p", "_values", "_row"), grown
+    return joined.withColumn("masked", _whole(F.col(text), F.col("_values"))).drop("_v", "_o", "_p", "_values", "_row"), grown
 
 
 def restore_documents(df: DataFrame, vault: DataFrame, text: str = "masked", vault_id: str | None = None, style: str = "values", tolerant: bool = True) -> DataFrame:
@@ -71,6 +77,6 @@ def restore_documents(df: DataFrame, vault: DataFrame, text: str = "masked", vau
     each = read.where("_p.error is null").select("_v", "_row", F.explode("_p.parts").alias("p")).where("not p.is_key").select("_v", "_row", "p.token", "p.inner", F.col("p.text").alias("_t"))
     back = restoring.restore(each, vault, "_t", "_v", tolerant).where("restored <> _t")
     values = back.groupBy("_row").agg(F.collect_list(F.struct("token", "inner", F.col("restored").alias("value"))).alias("_values"))
-    whole = read.join(values, "_row", "left").withColumn("_whole", _rebuild(F.col(text), F.col("_values")))
-    lexed = restoring.restore(whole, vault, text, "_v", False, "json")
-    return lexed.withColumn("restored", F.when(F.col("_p.error").isNull(), F.col("_whole")).otherwise(F.col("restored"))).drop("_v", "_row", "_p", "_values", "_whole")
+    whole = read.join(values, "_row", "left").withColumn("_whole", _whole(F.col(text), F.col("_values"))).withColumn("_cut", F.when(F.col("_p.error").isNotNull(), F.col(text)))
+    lexed = restoring.restore(whole, vault, "_cut", "_v", False, "json")
+    return lexed.withColumn("restored", F.when(F.col("_p.error").isNull(), F.col("_whole")).otherwise(F.col("restored"))).drop("_v", "_row", "_p", "_values", "_whole", "_cut")
