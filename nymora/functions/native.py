@@ -16,6 +16,9 @@ SEEN = "array<struct<start:int,end:int,value:string,before:string>>"
 #: Matches are walked in blocks of this size: an array that grows by one element at a time is copied each time.
 BLOCK = 128
 
+#: Stands around the matches of a text that doesn't hold it itself, so that one pass of the pattern tells matches and what is between them.
+MARK = "\ue0a3"
+
 
 def match_spans(text: Column, pattern: str, before: bool = False) -> Column:
     """array<struct<start, end, value>> of the matches of a pattern that never matches empty; with ``before``, also up to 32 characters
@@ -51,8 +54,12 @@ def match_spans(text: Column, pattern: str, before: bool = False) -> Column:
         heads = let(F.transform(pairs, lambda p: F.right(F.concat(p["g"], p["m"]), F.lit(32))), tail)
         return F.zip_with(out, heads, lambda s, h: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), h.alias("before")))
 
-    paired = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, pair))
-    return F.when(text.rlike(pattern), let(paired, spans)).otherwise(F.array().cast(SEEN if before else SPAN))
+    found = lambda pairs: F.when(F.size(pairs) > 0, spans(pairs)).otherwise(F.array().cast(SEEN if before else SPAN))
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    places = lambda p: F.slice(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), F.lit(1), F.shiftright(F.size(p), 1))
+    once = let(parts, lambda p: F.transform(places(p), lambda i: pair(F.get(p, i), F.get(p, i + 1))))
+    twice = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, pair))
+    return let(F.when(text.contains(MARK), twice).otherwise(once), found)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -118,8 +125,9 @@ def ipv4_spans(text: Column) -> Column:
     return plain(F.filter(found, lambda s: ipv4_ok(s["value"]) & ~F.right(s["before"], F.lit(16)).rlike(label)))
 
 
+# Patterns begin with what most places fail; a look behind or a word's edge costs far more.
 def ssn_spans(text: Column) -> Column:
-    found = match_spans(text, r"(?U)(?<!\d)\d{3}([- ]?)\d{2}([- ]?)\d{4}(?!\d)", before=True)
+    found = match_spans(text, r"(?U)\d(?<!\d\d)\d{2}([- ]?)\d{2}([- ]?)\d{4}(?!\d)", before=True)
     parts = r"^(\d{3})([- ]?)(\d{2})([- ]?)(\d{4})\z"
 
     def kept(s: Column) -> Column:
@@ -131,18 +139,18 @@ def ssn_spans(text: Column) -> Column:
 
 
 def iban_spans(text: Column) -> Column:
-    return F.filter(match_spans(text, r"(?U)\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{1,4}){2,7}\b"), lambda s: iban_ok(s["value"]))
+    return F.filter(match_spans(text, r"(?U)[A-Z](?<=\b[A-Z])[A-Z]\d{2}(?:[ ]?[A-Z0-9]{1,4}){2,7}\b"), lambda s: iban_ok(s["value"]))
 
 
 def card_spans(text: Column) -> Column:
     pattern = fixed.CARD.replace("(?P<", "(?<").replace("(?P=sep)", r"\k<sep>").replace("(?P=sep2)", r"\k<sep2>")
-    return plain(F.filter(match_spans(text, "(?U)" + pattern, before=True), lambda s: card_ok(s["value"]) & ~s["before"].rlike("(?i)" + fixed.CARD_OTHER_LABEL)))
+    return plain(F.filter(match_spans(text, r"(?U)(?=\d)" + pattern, before=True), lambda s: card_ok(s["value"]) & ~s["before"].rlike("(?i)" + fixed.CARD_OTHER_LABEL)))
 
 
 def dob_spans(text: Column) -> Column:
-    words, dates = match_spans(text, "(?i)" + fixed.BIRTH_WORD), match_spans(text, "(?i)" + fixed.DATE)
-    near = lambda d: F.exists(words, lambda w: (F.abs(w["end"] - d["start"]) <= 30) | (F.abs(w["start"] - d["end"]) <= 30))
-    return F.when(text.rlike("(?i)" + fixed.BIRTH_WORD), F.filter(dates, near)).otherwise(F.array().cast(SPAN))
+    near = lambda d, words: F.exists(words, lambda w: (F.abs(w["end"] - d["start"]) <= 30) | (F.abs(w["start"] - d["end"]) <= 30))
+    kept = lambda words: F.when(F.size(words) > 0, F.filter(match_spans(text, r"(?i)(?=[\djfmasond])" + fixed.DATE), lambda d: near(d, words))).otherwise(F.array().cast(SPAN))
+    return let(match_spans(text, "(?i)(?=[db])" + fixed.BIRTH_WORD), kept)
 
 
 def address_spans(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.scan import DETECTORS, scan
+from ..functions.scan import DETECTORS, NEED_DIGIT, scan
 from ..functions.secrets import KEY_FORMATS
 from .spans import ENTITIES
 
@@ -19,6 +19,15 @@ ARROW = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("sta
 #: two dots among its characters, however short its parts.
 SIGNAL = r"(?U)[@:+]|\d\D{0,2}\d|(?i:key|pass|secret|token|cookie|authorization)|[A-Za-z0-9+/_=.-]{20}|ey[A-Za-z0-9_=-]*\.[A-Za-z0-9_=-]+\.|" + "|".join(re.escape(mark) for _, marks, _ in KEY_FORMATS for mark in marks)
 ADDRESS_SIGNAL = r"|(?U)\d[A-Za-z]?\s"
+#: What is enough where every detector's values hold digits: two at most two characters apart; an address may have a single one.
+DIGITS, DIGIT = r"\p{Nd}\P{Nd}{0,2}\p{Nd}", r"\p{Nd}"
+
+
+def signal(detectors: Iterable[str]) -> str:
+    """The pattern of which any value of these detectors holds a match."""
+    if NEED_DIGIT.issuperset(detectors):
+        return DIGIT if "address" in detectors else DIGITS
+    return SIGNAL + (ADDRESS_SIGNAL if "address" in detectors else "")
 
 
 def checked(detectors: Iterable[str]) -> list[str]:
@@ -44,7 +53,7 @@ def entities(text: Column | str, field: Column | str | None = None, detectors: I
     empty = F.array().cast(ENTITIES)
     if not names:
         # A function under a condition is computed for every row, so its argument is nulled: texts without a signal don't travel.
-        worth = text.rlike(SIGNAL + (ADDRESS_SIGNAL if "address" in detectors else ""))
+        worth = text.rlike(signal(detectors))
         text = F.when(worth if field is None else worth | field.isNotNull(), text)
     if field is None:
 
