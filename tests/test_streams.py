@@ -86,3 +86,39 @@ def test_event_streams_give_what_batches_give(spark, tmp_path, style):
     for r in spark.table(f"events_{style}").orderBy("stream_id", "seq").collect():
         got[r.stream_id] = got.get(r.stream_id, "") + r.text
     assert got == whole
+
+
+class Counted:
+    """A state variable that counts its calls, of which each is a round trip to the JVM."""
+
+    def __init__(self, calls):
+        self.value, self.calls = None, calls
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            return self.value if name == "get" else self.value is not None
+
+        return call
+
+
+def test_a_whole_stream_takes_two_state_calls():
+    import pandas as pd
+
+    class Handle:
+        calls = []
+        getValueState = getMapState = lambda self, *_: Counted(self.calls)
+
+    class Shared:
+        value = [("⟨EMAIL_1⟩", "bob@x.org")]
+
+    done = streams.Restoring(Shared(), "text", None, 60, None)
+    done.init(Handle())
+    rows = pd.DataFrame([(1, "IL_1⟩", True), (0, "to ⟨EMA", False)], columns=["seq", "chunk", "final"])
+    (out,) = done.handleInputRows(("a", 0), iter([rows]), None)
+    assert "".join(out["text"]) == "to bob@x.org" and Handle.calls == ["get", "update"]
+    assert not list(done.handleInputRows(("a", 0), iter([rows]), None)) and Handle.calls == ["get", "update", "get"]
