@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import slices
+
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = [("lang_pred", "string"), ("score", "double"), ("margin", "double"), ("rejected", "boolean")]
 
@@ -111,7 +113,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
     def predict(batches):
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("_text").to_pylist()]
+            found = [shared.value.predict(t) for _, part in slices(batch.column("_text")) for t in part.to_pylist()]
             made = [pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *(name for name, _ in RESULT)])
 

@@ -68,8 +68,10 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int
     """The ``keep`` columns of each row and ``_fp``, the fingerprint as a signed long."""
 
     def made(batches):
+        from .tokens import slices
+
         for batch in batches:
-            fp = np.fromiter((fingerprint(t, size) for t in batch.column("_text").to_pylist()), "uint64", batch.num_rows)
+            fp = np.fromiter([fingerprint(t, size) for _, part in slices(batch.column("_text")) for t in part.to_pylist()], "uint64", batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view("int64"))], [*keep, "_fp"])
 
     schema = T.StructType([*(f for f in docs.select(*keep).schema.fields), T.StructField("_fp", T.LongType())])

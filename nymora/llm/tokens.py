@@ -24,8 +24,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) of a string column, each of about ``most_bytes`` at most or one row."""
+def slices(texts: pa.Array, most_bytes: int = 3 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of a string column, each of about ``most_bytes`` at most or one row.
+
+    What is made of a slice takes ten times its bytes and more, in each of an executor's workers at once. Workers live on from task to
+    task, so what Arrow's pool still holds of past slices is given back at the end.
+    """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64"))
     at = 0
     while at < len(texts):
@@ -33,6 +37,7 @@ def slices(texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, pa
         to = max(at + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
         yield at, texts.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Encoder:
@@ -107,10 +112,17 @@ class Encoder:
         pairs = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + n], 1).astype("int32") if n else np.zeros((0, 2), "int32")
         last = 2 * (offsets[1:] - offsets[0])
         codes = np.insert(pairs[coded.indices.to_numpy()].ravel(), last, len(found) - 1)
-        counts = lengths[codes]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat(first[codes] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, ends[last + np.arange(len(last))] if len(last) else last
+        counts = lengths.astype("int32")[codes]
+        total = int(counts.sum(dtype="int64"))
+        kind = "int32" if max(total, len(flat)) < 1 << 31 else "int64"
+        ends = np.cumsum(counts, dtype=kind)
+        # Where each piece's ids begin in flat, less where they begin in the result; in place, as these are the largest arrays.
+        shift = first.astype(kind)[codes]
+        shift -= ends
+        shift += counts
+        at = np.repeat(shift, counts)
+        at += np.arange(total, dtype=kind)
+        return flat[at], ends[last + np.arange(len(last))] if len(last) else last
 
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
