@@ -59,7 +59,12 @@ class Table:
     def __init__(self, counts: np.ndarray):
         self.freq = scaled(counts)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype("uint64")
+        #: States from here on give a word away first.
+        self.most = self.freq << np.uint64(63 - SCALE)
+        # By the low bits of a state: its id, and that one's frequency and the place among its slots.
         self.symbol = np.repeat(np.arange(len(counts), dtype="uint32"), self.freq.astype("int64"))
+        self.of_slot = self.freq[self.symbol]
+        self.within = np.arange(len(self.symbol), dtype="uint64") - self.start[self.symbol]
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
@@ -69,18 +74,20 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     words: list[np.ndarray] = []
     marks: list[tuple[int, int, np.ndarray]] = []
     n_words = 0
-    shift = np.uint64(63 - SCALE)
+    freq, most, start = table.freq[ids], table.most[ids], table.start[ids]
     for step in range(steps - 1, -1, -1):
-        part = ids[step * LANES : (step + 1) * LANES]
-        f, x = table.freq[part], state[: len(part)]
-        over = x >= (f << shift)
-        if over.any():
-            out = (x[over] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            words.append(out)
-            n_words += len(out)
-            x = np.where(over, x >> np.uint64(32), x)
+        part = slice(step * LANES, min(len(ids), (step + 1) * LANES))
+        f, x = freq[part], state[: part.stop - part.start]
+        over = np.flatnonzero(x >= most[part])
+        if len(over):
+            full = x[over]
+            words.append(full.astype("<u4"))  # their low 32 bits
+            n_words += len(over)
+            x[over] = full >> np.uint64(32)
+        # x // f * 2**SCALE + x % f + start
         q = x // f
-        state[: len(part)] = (q << np.uint64(SCALE)) + (x - q * f) + table.start[part]
+        x += q * (np.uint64(1 << SCALE) - f)
+        x += start[part]
         if step % EVERY == 0:
             marks.append((step, n_words, state.copy()))
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
@@ -117,14 +124,12 @@ def decode_block(block: bytes, table: Table, first: int = 0, last: int | None =
         width = min(LANES, n - step * LANES)
         x = state[:width]
         slot = x & mask
-        s = table.symbol[slot]
-        out[step * LANES : step * LANES + width] = s
-        x = table.freq[s] * (x >> scale) + slot - table.start[s]
-        low = x < np.uint64(LOW)
-        if low.any():
-            k = int(low.sum())
-            x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + k]
-            pos += k
+        out[step * LANES : step * LANES + width] = table.symbol[slot]
+        x = table.of_slot[slot] * (x >> scale) + table.within[slot]
+        low = np.flatnonzero(x < np.uint64(LOW))
+        if len(low):
+            x[low] = (x[low] << np.uint64(32)) | stream[pos : pos + len(low)]
+            pos += len(low)
         state[:width] = x
     out = out[begin * LANES : min(n, steps * LANES)]
     if len(out) == n and zlib.crc32(out.tobytes()) != crc:

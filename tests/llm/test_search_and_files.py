@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from nymora.llm import packing, queries, token_file, topk
-from nymora.llm.tokens import default_path, encoder
+from nymora.llm.tokens import Encoder, default_path, encoder
 import pyarrow as pa
 
 ODD = [None, "", "  a  b\n\nc é\t", "<|endoftext|> x <|ENDOFTEXT|>", "don't STOP\nnow 12 3 a.b,,c!!! (x). x~y ~ CAFE\u0301. é.", "日本語 text 🔑.", "w" * 200 + " " + "q,w.e" * 50]
@@ -42,6 +42,19 @@ def test_encoding_holds_little_at_once():
     assert n > 5000 * 300 and peak < 50e6
 
 
+def test_words_of_letters_go_to_the_model_at_once(monkeypatch):
+    """Words, accented ones before punctuation too, miss the costly way through normalizer and offsets; words that recur are learnt once, however many others pass."""
+    encode, whole, words = Encoder(default_path(), limit=40), [], []
+    by_text, by_word = encode.encode, encode.word
+    monkeypatch.setattr(encode, "encode", lambda t, **k: whole.append(t) or by_text(t, **k))
+    monkeypatch.setattr(encode, "word", lambda w: words.append(w) or by_word(w))
+    texts = [f"Größe, déjà%%% señor. ÿ! word{'abcdefgh'[i % 8]}{'xyz' * (i // 8 + 1)} straße a" for i in range(60)] + ["naïve e\u0301. x÷y ÉTÉ ½ ª"]
+    for t in texts:
+        assert [x.tolist() for x in encode.each(pa.array([t]))] == [plain_ids(t)]
+    assert not [t for t in whole[:-1] if set(t) & set("abcdefghijklmnopqrstuvwxyzößéàñÿ")] and len(encode.kept) + len(encode.older) <= 60
+    assert words.count("a") == 1 and len(words) == 66 + 1
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=5).round(2)]) for i in range(400)]
