@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nymora.llm import decontaminate, langid, line_dedup, packing, simhash
-from nymora.llm.common import fold, table, texts, written
+from nymora.llm.common import fold, small_batches, table, texts, written
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """``docs`` with column names that can't clash with an operator's, and the names of doc_id and text there."""
+    """``docs`` with column names that can't clash with an operator's, and the names of doc_id and text there; they go to Python in small batches."""
+    small_batches(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 
@@ -69,6 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id alone; repeated rows are packed each; equal lengths go by doc_id, start and checksum; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return packing.pack(docs)
 
 

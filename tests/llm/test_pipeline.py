@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 import corpus_pipeline
-from nymora.llm.common import written
+from nymora.llm.common import BATCH_BYTES, small_batches, written
 from test_near_duplicates import brute_similar
 from test_text_operators import brute_contamination, brute_lines
 
@@ -44,3 +46,16 @@ def test_stages_on_odd_tables(spark, tables):
             if name != "packing":
                 assert out.columns == docs.columns
                 docs = written(out, "odd")
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """15 MB of text in one partition of 3,000 rows: one batch by default; a session's own size stays."""
+    session, own = spark.newSession(), spark.newSession()
+    docs = session.range(3000).selectExpr("id as doc_id", "repeat('word ', 1000) as text").coalesce(1)
+    sizes = lambda df: [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    assert len(sizes(docs)) == 1
+    plain, _, _ = corpus_pipeline._plain(docs)
+    assert len(found := sizes(plain)) >= 3 and max(found) < 5 << 20
+    own.conf.set(BATCH_BYTES, "1m")
+    small_batches(own)
+    assert own.conf.get(BATCH_BYTES) == "1m"
