@@ -133,16 +133,15 @@ def near_pairs(fp: np.ndarray, task: np.ndarray, side: np.ndarray, distance: int
         i, j = live, live + step
         alone = (oside[i] == 0) | (oside[i] != oside[j])
         i, j = i[alone], j[alone]
+        if sets is not None:
+            apart = sets.apart(order[i], order[j])
+            i, j = i[apart], j[apart]
         for row in table[1:]:
             fits = np.abs(row[i] - row[j]) <= distance
             i, j = i[fits], j[fits]
         close = np.bitwise_count(ofp[i] ^ ofp[j]) <= distance
-        i, j = order[i[close]], order[j[close]]
-        if len(i) and sets is not None:
-            apart = sets.apart(i, j)
-            i, j = i[apart], j[apart]
-        if len(i):
-            yield i, j
+        if close.any():
+            yield order[i[close]], order[j[close]]
         step += 1
 
 
@@ -169,8 +168,8 @@ def _dealt(cells: DataFrame, chunks, chunked: bool) -> DataFrame:
     return out.withColumns({"i": F.col("pair.i"), "j": F.col("pair.j"), "side": side}).drop("pair", "mine", "chunks")
 
 
-def _by_task(rows: DataFrame, key: str, done, rows_at_once: int, result: str) -> DataFrame:
-    """``done(frame, task)`` of the rows, all rows of a task (key, i, j) in the same call; small tasks share calls."""
+def _by_task(rows: DataFrame, key: str, done, at_once: int, result: str, weigh=len) -> DataFrame:
+    """``done(frame, task)`` of the rows, all rows of a task (key, i, j) in the same call; small tasks share calls of about ``at_once``, as ``weigh`` counts a frame."""
     keys = [key, "i", "j"]
 
     def run(batches):
@@ -181,16 +180,17 @@ def _by_task(rows: DataFrame, key: str, done, rows_at_once: int, result: str) ->
             return done(frame, (frame[keys].diff() != 0).any(axis=1).cumsum().to_numpy())
 
         for batch in batches:
+            if not len(batch):
+                continue
             held.append(batch)
-            size += len(batch)
-            if size >= rows_at_once:
+            size += weigh(batch)
+            if size >= at_once and (held[0][keys].iloc[0] != batch[keys].iloc[-1]).any():  # else all are of one task, which goes on
                 frame = pd.concat(held, ignore_index=True)
-                last = frame.iloc[-1]
-                same = (frame[key] == last[key]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])
-                if not same.all():
-                    yield call(frame[~same].reset_index(drop=True))
-                held, size = [frame[same]], int(same.sum())
-        if size:
+                same = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
+                yield call(frame[~same].reset_index(drop=True))
+                held = [frame[same]]
+                size = weigh(held[0])
+        if held:
             yield call(pd.concat(held, ignore_index=True))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, result)
@@ -302,25 +302,63 @@ def _sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "tie", "text").mapInArrow(made, schema)
 
 
-def similar_in(fp: np.ndarray, task: np.ndarray, side: np.ndarray, shingles: list[np.ndarray], similarity: float, distance: int, n_pivots: int) -> tuple[list[int], list[int]]:
-    """Rows (a, b) that connect the points of each task as far as they have at least ``similarity``. Pairs are judged nearest first,
-    as those connected by then needn't be; ``shingles`` are sorted and distinct."""
+def parities(shingles: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of ``bits`` bits (a power of two, 64 or more) for each set, as 64-bit words: a bit is 1 if an odd number of shingles fall on it.
+
+    Two rows differ in at most as many bits as there are shingles in one of the two sets alone.
+    """
+    out = np.zeros((len(shingles), bits // 64), "uint64")
+    step = max(1, (1 << 20) // bits)
+    for first in range(0, len(shingles), step):
+        part = shingles[first : first + step]
+        at = np.concatenate(part) & (bits - 1)
+        at = at.astype("int64") + np.repeat(np.arange(len(part)), [len(x) for x in part]) * bits
+        odd = (np.bincount(at, minlength=len(part) * bits) & 1).astype("uint8")
+        out[first : first + step] = np.packbits(odd.reshape(len(part), bits), axis=1).view("uint64")
+    return out
+
+
+def similar_in(
+    fp: np.ndarray, task: np.ndarray, side: np.ndarray, shingles: list[np.ndarray], similarity: float, distance: int, n_pivots: int, pairs_at_once: int = 1 << 18
+) -> tuple[list[int], list[int]]:
+    """Rows (a, b) that connect the points of each task as far as they have at least ``similarity``; ``shingles`` are sorted and distinct.
+
+    Of n points there may be n * n / 2 pairs, so no more than about ``pairs_at_once`` are held. They are judged nearest first, as those connected by then
+    needn't be. Two sets of that similarity differ in (1 - similarity) / (1 + similarity) of their shingles at most; where ``parities`` differ in more, the sets
+    aren't compared.
+    """
     n = np.fromiter(map(len, shingles), "int64", len(shingles))
-    near = [(np.zeros(0, "int64"),) * 2, *near_pairs(fp, task, side, distance, n_pivots)]
-    i, j = (np.concatenate(x) for x in zip(*near, strict=True))
-    fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-    i, j = i[fits], j[fits]
-    order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
     sets, a, b = Sets(len(fp)), [], []
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        if sets.find(x) != sets.find(y):
-            both = np.concatenate([shingles[x], shingles[y]])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            if same >= similarity * (len(both) - same):
-                sets.join(x, y)
-                a.append(x)
-                b.append(y)
+    bits = 1 << max(6, min(15, int(4 * n.mean()).bit_length())) if len(n) else 64
+    parity = parities(shingles, bits)
+
+    def judge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        apart = sets.apart(i, j)
+        i, j = i[apart], j[apart]
+        order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if sets.find(x) != sets.find(y):
+                both = np.concatenate([shingles[x], shingles[y]])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                if same >= similarity * (len(both) - same):
+                    sets.join(x, y)
+                    a.append(x)
+                    b.append(y)
+
+    held, size = [], 0
+    for i, j in near_pairs(fp, task, side, distance, n_pivots, sets):
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        fits = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype="int64") <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+        held.append((i[fits], j[fits]))
+        size += len(held[-1][0])
+        if size >= pairs_at_once:
+            judge(held)
+            held, size = [], 0
+    if held:
+        judge(held)
     return a, b
 
 
@@ -392,4 +430,5 @@ def _verified(keys: DataFrame, members: DataFrame, size: int, similarity: float,
         a, b = similar_in(fp, task, frame["side"].to_numpy(), list(frame["shingles"]), similarity, distance, n_pivots)
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    return _by_task(rows.select("node", "fp", "shingles", "root", "i", "j", "side"), "root", compared, 10_000, "a long, b long")
+    rows = rows.select("node", "fp", "shingles", "root", "i", "j", "side")
+    return _by_task(rows, "root", compared, task_shingles // 4, "a long, b long", lambda frame: int(frame["shingles"].map(len).sum()))

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from nymora.llm import simhash
@@ -120,6 +122,62 @@ def test_near_copies_of_one_text(spark):
         assert {r.doc_id for r in simhash.deduplicated(df, **options).collect()} == want
 
 
+def test_pairs_of_a_large_block_are_not_held_together():
+    """2,000 points with 2 million pairs within the distance, of which few are similar."""
+    rng = np.random.default_rng(3)
+    fp = np.uint64(1) << rng.integers(0, 64, 2000).astype("uint64")
+    shingles = [np.unique(rng.integers(-(2**63), 2**63 - 1, 30)) for _ in fp]
+    shingles[7] = shingles[1990]
+    zeros = np.zeros(len(fp), "int64")
+    tracemalloc.start()
+    links = simhash.similar_in(fp, zeros, zeros, shingles, 0.8, 10, 48)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [sorted(x) for x in zip(*links, strict=True)] == [[7, 1990]]
+    assert most < 40e6
+
+
+def test_sets_at_the_similarity_itself_are_linked():
+    """Sets of any size around a similarity of 0.8, in tasks of one side and of two; few pairs at once lose no link."""
+    rng = np.random.default_rng(5)
+    shingles, fp = [], []
+    for _ in range(40):
+        some = rng.integers(-(2**63), 2**63 - 1, int(rng.integers(1, 400)))
+        for cut in (0, 0.1, 0.11, 0.2, 0.21):
+            own = some.copy()
+            own[: int(cut * len(own))] = rng.integers(-(2**63), 2**63 - 1, int(cut * len(own)))
+            shingles.append(np.unique(own))
+            fp.append(1 << int(rng.integers(0, 4)))
+    shingles += [np.arange(9), np.arange(10), np.arange(8), np.arange(4), np.arange(1, 5), np.arange(5)]
+    fp += [1] * 6
+    fp, task = np.array(fp, "uint64"), np.zeros(len(fp), "int64")
+    whole = [set(x.tolist()) for x in shingles]
+    for side in (task, rng.integers(1, 3, len(fp))):
+        want = simhash.Sets(len(fp))
+        for i in range(len(fp)):
+            for j in range(i):
+                if (side[i] == 0 or side[i] != side[j]) and len(whole[i] & whole[j]) >= 0.8 * len(whole[i] | whole[j]):
+                    want.join(i, j)
+        for at_once in (1, 50, 1 << 18):
+            got = simhash.Sets(len(fp))
+            for x, y in zip(*simhash.similar_in(fp, task, side, shingles, 0.8, 10, 48, at_once), strict=True):
+                assert got.join(x, y)
+            assert [got.find(i) for i in range(len(fp))] == [want.find(i) for i in range(len(fp))]
+
+
+def test_rows_of_long_texts_share_fewer_calls(spark):
+    """A call's rows are bounded by what they weigh, and a task over several batches isn't cut."""
+    rows = spark.createDataFrame([(k, 0, 0, [0] * 100) for k in range(40) for _ in range(3)], "root long, i int, j int, shingles array<long>").coalesce(1)
+    done = lambda frame, task: pd.DataFrame({"a": [int(frame["shingles"].map(len).sum())], "b": [int(frame["root"].value_counts().min())]})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        calls = simhash._by_task(rows, "root", done, 600, "a long, b long", lambda frame: int(frame["shingles"].map(len).sum())).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(c.a for c in calls) == 12_000 and {c.b for c in calls} == {3}
+    assert max(c.a for c in calls) <= 800
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     long = "word " * 100_000 + "end"
     rows = [(3, "a b c d", "x"), (1, "A  b c d", "y"), (1, "A  b c d", "y"), (None, "q r s t", "z"), (None, "q r s t", "z"), (5, None, "n"), (4, "", "e"), (9, "quite another text here", "o"), (11, long, "l"), (10, long, "l")]
