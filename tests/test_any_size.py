@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +18,7 @@ from nymora.functions.scan import KnownNames
 from nymora.functions.surrogates import Custom, Placeholders, Realistic
 from nymora.operators import audit, detect, documents, spans
 from nymora.operators import restore as restoring
+from nymora.plans import queries as plans
 from nymora.sources import vault as vaults
 
 ROWS = [(None, None, "mail bob@example.com"), (None, "a", "bob@example.com and ann@a.org"), (1, None, "ann@a.org"), (1, "a", "again bob@example.com"), (1, "a", "again zoe@z.org"), (2, "", "bob@example.com")]
@@ -91,6 +93,19 @@ def test_json_restoration_by_joins(spark):
     assert JSONStream(lookup).feed(texts[0], True) == got[0]
 
 
+def test_restored_events_keep_their_props(spark, tmp_path):
+    props = ['{"k": 76}', None, '{"k": [1.10, {"q": "say \\"x\\" \\u00e9", "q": null}]}', '"text"', "[ ]"]
+    spark.createDataFrame(list(enumerate(props, 7)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.restored for r in plans.queries()["restore_json_joined"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == dict(con.execute(plans.oracle_sql()["restore_json_joined"]).fetchall())
+    for n, own in enumerate(props, 7):
+        said = f'say "{n}"'
+        assert json.loads(got[n]) == {f"⟨IPV4_{n}⟩": 1, "a": [f"{said} and {said}"], "n": 1.1, "props": json.loads(own or "null")}
+        assert got[n].endswith(f'"props":{own or "null"}}}')
+
+
 def test_joined_audit_equals_findings(spark):
     vault = spark.createDataFrame([("", 0, "PERSON", "aa", "S1", "n"), ("", 1, "PERSON", "aba", "S2", "n"), ("", 2, "ORG", "aa", "S3", "n"), ("", 3, "PERSON", "long name here " * 4, "S4", "n")], vaults.SCHEMA)
     rng = random.Random(5)
